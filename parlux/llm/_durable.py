@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs with columns c0, c1, ..., the new name of each old one (the first, if a name repeats), and the way back: from a frame that
+    holds these columns among others to one with just docs' columns. So no column of docs can clash with an operator's own."""
+    new = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*new), dict(reversed(list(zip(docs.columns, new, strict=True)))), lambda df: df.select(*new).toDF(*docs.columns)
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it is proven to have at most BROADCAST_ROWS rows, else df itself, to be joined by a shuffle."""
     n = df.count() if rows is None else rows

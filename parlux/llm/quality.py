@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlux.llm import _grams as G
+from parlux.llm._durable import renamed
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -85,14 +86,15 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they were, whose text passes the rules: judged in the row, without a join or shuffle."""
-    at = docs.columns.index("text")
+    rows, name, back = renamed(docs)
+    at = rows.columns.index(name["text"])
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in G.pieces(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(judge(measure(data, offs))[1]))
 
-    return docs.mapInArrow(passed, docs.schema)
+    return back(rows.mapInArrow(passed, rows.schema))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
