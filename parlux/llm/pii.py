@@ -17,7 +17,7 @@ then the first kind of KINDS."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt
@@ -205,13 +205,13 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "token"])
 
 
-def name_salts(texts: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, token, salt) of the names whose first draw collides with another name's surrogate or with a name of the corpus."""
+def name_salts(texts: DataFrame, key: bytes = KEY, make: Callable[[bytes, str, str, int], str] = made_up) -> DataFrame:
+    """(kind, token, salt) of the names whose first draw by make collides with another name's surrogate or with a name of the corpus."""
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, tokens, salts = (batch.column(c).to_pylist() for c in ("kind", "token", "salt"))
-            made = [made_up(key, k, t, s) for k, t, s in zip(kinds, tokens, salts, strict=True)]
+            made = [make(key, k, t, s) for k, t, s in zip(kinds, tokens, salts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "token", "salt", "made"])
 
     schema = "kind string, token string, salt int, made string"

@@ -1,0 +1,56 @@
+"""Surrogates: permutations, formats, coreference and collisions."""
+
+import re
+from collections import Counter
+
+from parlux.llm import pii
+
+
+def test_permutation_without_fixed_points():
+    for n in (2, 3, 10, 97, 1000):
+        images = [pii.moved(b"k", "t", x, n) for x in range(n)]
+        assert sorted(images) == list(range(n))
+        assert all(x != y for x, y in enumerate(images))
+
+
+def test_formats():
+    for kind, text in [("email", "Ann.Lee9@mail7.example.com"), ("phone", "+1 (234) 555-1234"), ("ssn", "123-45-6789"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111112"), ("secret", "0a1b" * 8), ("ipv4", "10.200.3.4"), ("iban", "DE89 3704 0044 0532 0130 00")]:
+        out = pii.surrogate(b"k", kind, text)
+        assert out != text and out == pii.surrogate(b"k", kind, text) and out != pii.surrogate(b"other", kind, text)
+        if kind != "ipv4":
+            assert re.sub(r"\d", "0", re.sub("[a-f]", "0", out) if kind == "secret" else out).translate(str.maketrans({c: "a" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) == re.sub(r"\d", "0", re.sub("[a-f]", "0", text) if kind == "secret" else text).translate(str.maketrans({c: "a" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}))
+        if kind == "card":
+            assert pii.luhn(re.sub(r"\D", "", out)) == pii.luhn(re.sub(r"\D", "", text))
+        assert next(pii.finds(f'it token = "{out}" end' if kind == "secret" else f"is {out} end")).lastgroup == kind
+
+
+def test_texts(spark):
+    rows = [(1, "Mail a.b@mail1.example.com or A.B@mail1.example.com, Mrs. Ann LEE. Later Mrs. Lee", 5), (2, "a.b@mail1.example.com", 5), (3, None, None), (4, "", 0), (5, "nothing private 12 times", 3), (None, "call +1 (234) 555-1234 at 10.0.0.1", 1), (6, "Господин Иванов", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in pii.replace_private(df).collect()}
+    assert len(got) == len(rows) and got[3].text is None and got[4].text == "" and got[5].text == rows[4][1]
+    assert got[2].text in got[1].text and got[1].n_chars == len(got[1].text)
+    upper, later = re.search(r"Mrs\. \w+ (\w+)\. Later Mrs\. (\w+)", got[1].text).groups()
+    assert upper.isupper() and upper.lower() == later.lower() != "lee"
+    assert "555-1234" not in got[None].text and "10.0.0.1" not in got[None].text
+    assert re.fullmatch("Господин [А-Я][а-я]+", got[6].text) and "Иванов" not in got[6].text
+    assert pii.replace_private(df.where("false")).count() == 0
+
+
+def test_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    mapped = {}
+    for r in pii.replace_private(docs).collect():
+        a, b = list(pii.finds(before[r.doc_id] or "")), list(pii.finds(r.text or ""))
+        assert Counter(m.lastgroup for m in a) == Counter(m.lastgroup for m in b)
+        for x, y in zip(a, b, strict=True):
+            assert x[0] != y[0] and mapped.setdefault((x.lastgroup, x[0]), y[0]) == y[0]
+    assert len(set(mapped.values())) == len(mapped)
+
+
+def test_colliding_names(spark):
+    df = spark.createDataFrame([("Mr. Abel met Mr. Adam and Mr. Bert, not Mr. B0",)], "text string")
+    make = lambda key, kind, token, salt: f"{token[0]}{salt}" if salt < 2 else f"{token}x"
+    salts = {r.token: r.salt for r in pii.name_salts(df, make=make).collect()}
+    assert salts == {"adam": 1}
