@@ -1,0 +1,142 @@
+"""Stereo containers: the sections, tag directories and two images of a multi-picture file, one Arrow batch of files at a time.
+
+A file that isn't a sound container gets a row with its error; nothing is dropped."""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Byte orders, directory tags, field types and lengths of the file format.
+ORDERS = {b"MM\0*": ">", b"II*\0": "<"}
+EXIF_TAG, MAKER_TAG, PARALLAX_TAG, VERSION_TAG, COUNT_TAG, ENTRIES_TAG = 34665, 37500, 45585, 45056, 45057, 45058
+TYPES, LONG, UNDEFINED, SRATIONAL = (1, 2, 3, 4, 5, 7, 9, 10), 4, 7, 10
+MAX_TAGS, ENTRY, PIXELS = 9999, 16, 35
+_SCHEMA = "path string, n_images int, start0 long, size0 long, start1 long, size1 long, parallax double, parallax_px double, error string"
+
+
+class Damaged(ValueError):
+    """The bytes are not what the format asks for."""
+
+
+def need(fine: bool, what: str) -> None:
+    if not fine:
+        raise Damaged(what)
+
+
+def sections(data: bytes, at: int = 0) -> list[tuple[int, int, int]]:
+    """(marker, start of the payload, length) of the application segments behind the start of an image."""
+    need(data[at : at + 2] == b"\xff\xd8", "no start of image")
+    out, at = [], at + 2
+    while True:
+        need(at + 2 <= len(data), "cut off between segments")
+        if data[at] != 0xFF or data[at + 1] & 0xF0 != 0xE0:
+            return out
+        need(at + 4 <= len(data), "cut off in a segment")
+        size = struct.unpack_from(">H", data, at + 2)[0]
+        need(size >= 2 and at + 2 + size <= len(data), "a segment's length is wrong")
+        out.append((data[at + 1], at + 4, size - 2))
+        at += 2 + size
+
+
+def directory(data: bytes, at: int, order: str) -> dict[int, tuple[int, int, int]]:
+    """tag -> (type, count, place of the four payload bytes)."""
+    need(0 <= at and at + 2 <= len(data), "a directory lies outside")
+    n = struct.unpack_from(f"{order}H", data, at)[0]
+    need(n <= MAX_TAGS and at + 2 + 12 * n <= len(data), "a directory is too long")
+    tags: dict[int, tuple[int, int, int]] = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
+        need(kind in TYPES, "unknown field type")
+        need(tag not in tags, "a tag repeats")
+        tags[tag] = (kind, count, at + 10 + 12 * k)
+    return tags
+
+
+def _tiff(data: bytes, base: int) -> tuple[str, int]:
+    order = ORDERS.get(data[base : base + 4])
+    need(order is not None, "no byte order")
+    need(base + 8 <= len(data) and struct.unpack_from(f"{order}I", data, base + 4)[0] == 8, "the first directory is elsewhere")
+    return order, base + 8
+
+
+def _pointer(data: bytes, order: str, tags: dict, tag: int, kind: int, count: int | None) -> int:
+    need(tag in tags and tags[tag][0] == kind and count in (None, tags[tag][1]), f"tag {tag} is missing or of another kind")
+    return struct.unpack_from(f"{order}I", data, tags[tag][2])[0]
+
+
+def maker_parallax(data: bytes, segments: list[tuple[int, int, int]]) -> tuple[int, int] | None:
+    """The parallax as (numerator, denominator) from the maker's note, or None without one."""
+    blocks = [(s, n) for m, s, n in segments if m == 0xE1 and data[s : s + 6] == b"Exif\0\0"]
+    need(len(blocks) < 2, "several tag blocks")
+    if not blocks:
+        return None
+    base = blocks[0][0] + 6
+    block = data[base : blocks[0][0] + blocks[0][1]]
+    order, at = _tiff(block, 0)
+    tags = directory(block, at, order)
+    if EXIF_TAG not in tags:
+        return None
+    tags = directory(block, _pointer(block, order, tags, EXIF_TAG, LONG, 1), order)
+    if MAKER_TAG not in tags:
+        return None
+    start = _pointer(block, order, tags, MAKER_TAG, UNDEFINED, None)
+    note = block[start : start + tags[MAKER_TAG][1]]
+    if note[:8] != b"FUJIFILM":
+        return None
+    need(note[8:12] == struct.pack("<I", 12), "the maker's directory is elsewhere")
+    tags = directory(note, 12, "<")
+    if PARALLAX_TAG not in tags:
+        return None
+    at = _pointer(note, "<", tags, PARALLAX_TAG, SRATIONAL, 1)
+    need(at + 8 <= len(note), "the parallax lies outside")
+    return struct.unpack_from("<ii", note, at)
+
+
+def images(data: bytes) -> dict:
+    """start0, size0, start1, size1, parallax of a sound container; Damaged otherwise."""
+    first = sections(data)
+    index = [(s, n) for m, s, n in first if m == 0xE2 and data[s : s + 4] == b"MPF\0"]
+    need(len(index) == 1, "no stereo index")
+    base = index[0][0] + 4
+    block = data[base : index[0][0] + index[0][1]]
+    order, at = _tiff(block, 0)
+    tags = directory(block, at, order)
+    need(VERSION_TAG in tags and tags[VERSION_TAG][:2] == (UNDEFINED, 4) and block[tags[VERSION_TAG][2] : tags[VERSION_TAG][2] + 4] == b"0100", "another version")
+    need(_pointer(block, order, tags, COUNT_TAG, LONG, 1) == 2, "not two images")
+    at = _pointer(block, order, tags, ENTRIES_TAG, UNDEFINED, 2 * ENTRY)
+    need(8 < at and at + 2 * ENTRY <= len(block), "the entry table lies outside")
+    found = []
+    for k in range(2):
+        bits, size, offset, _, _ = struct.unpack_from(f"{order}IIIHH", block, at + k * ENTRY)
+        need(bits & 0xFFFFFF == 0x020002 and bits >> 24 & 7 == 0, "another kind of image")
+        found.append((size, offset))
+    need(found[0][1] == 0, "the first image is elsewhere")
+    start = base + found[1][1]
+    need(found[0][0] == start and start + found[1][0] <= len(data), "the sizes don't add up")
+    image = data[start : start + found[1][0]]
+    parallax = maker_parallax(image, sections(image))
+    value = None if parallax is None or not parallax[1] else parallax[0] / parallax[1]
+    return {"n_images": 2, "start0": 0, "size0": found[0][0], "start1": start, "size1": found[1][0], "parallax": value, "parallax_px": None if value is None else PIXELS * value, "error": None}
+
+
+def parse_stereo(files: DataFrame) -> DataFrame:
+    """files (path, content) -> one row each: n_images, places and sizes of both images, parallax, parallax_px, error."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("n_images", pa.int32()), *((c, pa.int64()) for c in ("start0", "size0", "start1", "size1")), ("parallax", pa.float64()), ("parallax_px", pa.float64()), ("error", pa.string())])
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    row = images(content.as_py() or b"")
+                except Damaged as e:
+                    row = {"error": str(e)}
+                rows.append({"path": path} | row)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(parsed, _SCHEMA)
