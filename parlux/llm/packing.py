@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from parlux.llm._durable import durable, small_or_shuffled
 from parlux.llm._tokens import byte_bpe
@@ -146,39 +145,27 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         counts[row["length"]] = row["n"]
     offsets = by_part.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = pieces.join(small_or_shuffled(offsets, by_part.count()), ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    place = _placer(plan_patterns(counts, capacity), capacity)
-    fields = [f for f in ranked.schema if f.name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "_rank")]
-    plain = ranked.select(*(f.name for f in fields))
-    names = [f.name for f in fields if f.name not in ("_rank", "ids")] + ["sequence_id", "offset"] + ["ids"] * with_ids
-    out = StructType(list(plain.schema.fields)).add("sequence_id", "long").add("offset", "long")
-    return plain.mapInArrow(place, out).select(*names)
+    runs = _runs(plan_patterns(counts, capacity), capacity)
+    placed = docs.sparkSession.createDataFrame(runs).withColumnRenamed("length", "_length")
+    mine = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    found = ranked.join(small_or_shuffled(placed, runs.num_rows), mine)
+    return found.select(*names, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"), *["ids"] * with_ids)
 
 
-def _placer(patterns: list[Pattern], capacity: int):
+def _runs(patterns: list[Pattern], capacity: int) -> pa.Table:
     """For each length the runs of ranks that share a pattern and a place in it: bounded by the plan, not by the documents."""
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+    rows: list[tuple[int, int, int, int, int]] = []
     used, sequence = np.zeros(capacity + 1, np.int64), 0
     for times, lengths in patterns:
         offset = 0
         for n in lengths:
-            runs.setdefault(n, []).append((int(used[n]), sequence, offset))
+            rows.append((n, int(used[n]), int(used[n]) + times, sequence, offset))
             used[n] += times
             offset += n
         sequence += times
-    first = np.zeros(capacity + 2, np.int64)
-    first[1:] = np.cumsum([len(runs.get(n, ())) for n in range(capacity + 1)])
-    table = np.array([r for n in range(capacity + 1) for r in runs.get(n, ())], np.int64).reshape(-1, 3)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
-            at = np.empty(len(length), np.int64)
-            for n in np.unique(length):
-                mine = np.flatnonzero(length == n)
-                at[mine] = first[n] + np.searchsorted(table[first[n] : first[n + 1], 0], rank[mine], "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(table[at, 1] + rank - table[at, 0]), pa.array(table[at, 2])], [*batch.schema.names, "sequence_id", "offset"])
-
-    return place
+    columns = np.array(rows, np.int64).reshape(-1, 5)
+    return pa.table({name: columns[:, k] for k, name in enumerate(["length", "_first", "_end", "_sequence", "_offset"])})
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
