@@ -30,6 +30,9 @@ from parlux.llm._durable import BROADCAST_ROWS, durable, renamed
 
 KEY = b"parlux surrogates"
 ROUNDS = 8
+#: Titles before names; a capitalised word that is none of them.
+TITLES = "Mr|Mrs|Ms|Miss|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа"
+CAPITAL = rf"(?!(?:{TITLES})\b)[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*"
 #: Patterns of the kinds, in order of precedence.
 KINDS = {
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
@@ -39,7 +42,7 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "name": r"\b(?:Mr|Mrs|Ms|Miss|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа)\.? (?:[^\W\d_]+[ -]){0,2}[^\W\d_]+",
+    "name": rf"\b(?:{TITLES})\.? {CAPITAL}(?:[ -]{CAPITAL}){{0,2}}",
 }
 #: Titles of women; all others of the pattern are men's.
 FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"}
