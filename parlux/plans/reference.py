@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from parlux.functions import columns as C
 from parlux.operators import relational as R
+from parlux.sources import services as S
+from parlux.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -191,3 +193,27 @@ def aspect_fit(t):
     """Pictures fitted into a window and centred."""
     left, top, w, h = C.aspect_fit(F.col("p_size") + F.lit(1.0), F.floor(F.col("p_retailprice") / 40) + 1, F.lit(640), F.lit(480))
     return t("part").select("p_partkey", left.alias("left"), top.alias("top"), w.alias("width"), h.alias("height"))
+
+
+@query(f"""SELECT page_id, coalesce(regexp_matches(url, '{S.RELAYED}'), false) AS allowed FROM pages""")
+def relayed(t):
+    """Addresses that may be relayed."""
+    return t("pages").select("page_id", S.relay_allowed(F.col("url")).alias("allowed"))
+
+
+@query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, value DESC) AS r FROM events WHERE value IS NOT NULL) WHERE r = 1""")
+def load_progress(t):
+    """The last report of each load."""
+    return flows.progress(t("events").select("user_id", "event_id", "value", "ts"), "user_id", "event_id", "value", "ts")
+
+
+@query("""SELECT event_id, CASE WHEN upper(event_type) IN ('SHOUT', 'SEVERE', 'WARNING', 'INFO', 'CONFIG', 'FINE', 'FINER', 'FINEST', 'ALL', 'OFF') THEN upper(event_type) ELSE 'INFO' END AS level FROM events""")
+def log_levels(t):
+    """Levels of relayed log records."""
+    return t("events").select("event_id", flows.log_level(F.upper("event_type")).alias("level"))
+
+
+@query("""SELECT c_custkey, lst AS preference FROM (SELECT o_custkey AS c_custkey, o_orderstatus AS lst, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+def preferences(t):
+    """A store of preferences: the last write of each key wins."""
+    return t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("preference"))
