@@ -5,7 +5,10 @@
    reaches is j + a fraction. A slot filled at rank j cannot be improved later, so a text is done at the rank that fills its last slot.
 3. Bands of ROWS slots give keys; nodes that share a key are candidates. A bucket is handled in bounded groups: all of it if it has
    at most GROUP nodes, else by the key of the next band as well, and by random groups that each also hold the same few pivots. In a
-   group, pairs whose signatures agree in CLOSE of the slots or more (the threshold less about six deviations) are joined.
+   group, pairs whose signatures agree in CLOSE of the slots or more (the threshold less about six deviations) are joined. What this
+   leaves apart in a large bucket is then compared in full: its nodes outside the bucket's largest component, in blocks of about
+   BLOCK, against blocks of all its nodes. So every pair that shares a band is compared or is in one component already; the random
+   groups only save work. A bucket of n nodes that stay apart costs n * n comparisons, in tasks of bounded memory.
 4. Clusters of candidates are connected components. Each set travels once to its cluster; there pairs are confirmed on the full sets
    and joined by union-find. A cluster with more than CHUNK shingles is split into chunks: inside each, then the nodes with the
    most links against all chunks, then all nodes that are still outside the cluster's largest component against all chunks. So any
@@ -34,6 +37,8 @@ SLOTS, ROWS, CLOSE = 128, 4, 0.6
 BANDS = SLOTS // ROWS
 #: Nodes in a group of one bucket; expected pivots of a bucket that is split.
 GROUP, PIVOTS = 128, 12
+#: Nodes on either side of a block comparison that finishes a split bucket.
+BLOCK = 1024
 #: Shingles in a chunk of a cluster, and how many of its best-linked nodes meet all its chunks first.
 CHUNK, HUBS = 400_000, 32
 
@@ -194,6 +199,31 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array(root[at])), nodes.take(pa.array(at))], ["a", "b"])
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, probe, node, sig, root) sorted by grp -> edges that join, in each group, whatever close pairs of a probe and another node
+    join over the roots."""
+    least = int(np.ceil(CLOSE * SLOTS))
+    for table in _whole_groups(batches, 0):
+        ids, probe, nodes, sig = _one(table.column(0)).to_numpy(), _one(table.column(1)).to_numpy(zero_copy_only=False), _one(table.column(2)), _fixed(table.column(3), SLOTS)
+        root = _one(table.column(4)).dictionary_encode().indices.to_numpy().copy()
+        cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        a, b = [], []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(ids)), strict=True):
+            mine, place = root[lo:hi].copy(), np.flatnonzero(~probe[lo:hi])
+            others = np.ascontiguousarray(sig[lo + place])
+            for i in np.flatnonzero(probe[lo:hi]):
+                # equal slots, eight bytes at a time: no byte's sum passes 16, nor their total 128
+                equal = ((others == sig[lo + i]).view(np.uint64).sum(1) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+                near = place[(equal >= least) & (mine[place] != mine[i])]
+                if len(near):
+                    roots, first = np.unique(mine[near], return_index=True)
+                    a += [lo + i] * len(first)
+                    b += (lo + near[first]).tolist()
+                    mine[np.isin(mine, roots)] = mine[i]
+        take = lambda at: nodes.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([take(a), take(b)], ["a", "b"])
+
+
 def _sets(n: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,21 +298,39 @@ def _links(flat: np.ndarray, ends: np.ndarray, probe: np.ndarray, percent: int)
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components hold every pair of nodes that may be linked."""
+    """(node, root): components that hold every pair of nodes that may be linked."""
     nodes = signed.where("node is not null").select("node", "bands", "sig").dropDuplicates(["node"])
-    at = lambda k: F.element_at("bands", k % BANDS + 1)
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"), "bands").select("node", "key", F.xxhash64("key", F.get("bands", (F.col("band") + 1) % BANDS)).alias("finer"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = durable(keys.join(shared, "key"))  # once, for its four uses
+    members = durable(keys.join(shared, "key"))  # once, for its uses
     finer = members.where(F.col("n") > GROUP)
     sizes = finer.groupBy("finer").agg(F.count("*").alias("m"))
-    token = F.xxhash64(F.lit("group"), "node")
-    dealt = lambda key, n: F.explode(F.when(F.pmod(F.xxhash64(F.lit("pivot"), "node"), n) < PIVOTS, F.sequence(F.lit(0), F.ceil(n / GROUP).cast("int") - 1)).otherwise(F.array(F.pmod(token, F.ceil(n / GROUP)).cast("int"))))
+    token = lambda key: F.xxhash64(F.lit("group"), key, "node")
+    dealt = lambda key, n: F.explode(F.when(F.pmod(F.xxhash64(F.lit("pivot"), key, "node"), n) < PIVOTS, F.sequence(F.lit(0), F.ceil(n / GROUP).cast("int") - 1)).otherwise(F.array(F.pmod(token(key), F.ceil(n / GROUP)).cast("int"))))
     small = members.where(F.col("n") <= GROUP).select(F.col("key").alias("grp"), "node")
     wide = finer.select("key", "node", dealt("key", F.col("n")).alias("part")).select(F.xxhash64("key", "part").alias("grp"), "node")
-    fine = finer.join(sizes, "finer").where("m > 1").select("finer", "node", F.when(F.col("m") > GROUP, F.pmod(token, F.ceil(F.col("m") / GROUP))).otherwise(F.lit(0)).alias("part")).select(F.xxhash64("finer", "part").alias("grp"), "node")
+    fine = finer.join(sizes, "finer").where("m > 1").select("finer", "node", F.when(F.col("m") > GROUP, F.pmod(token("finer"), F.ceil(F.col("m") / GROUP))).otherwise(F.lit(0)).alias("part")).select(F.xxhash64("finer", "part").alias("grp"), "node")
     grouped = small.unionByName(wide).unionByName(fine).join(nodes.select("node", "sig"), "node").select("grp", "node", "sig")
-    return _by_group(grouped, ["grp"]).mapInArrow(_close_pairs, "a binary, b binary").distinct()
+    edges = durable(_by_group(grouped, ["grp"]).mapInArrow(_close_pairs, "a binary, b binary").distinct())
+    roots = durable(connected(edges))
+    if not finer.take(1):
+        return roots
+    more = durable(_apart(finer.select("key", "node", "n"), roots, nodes.select("node", "sig")))
+    return durable(connected(edges.union(more))) if more.take(1) else roots
+
+
+def _apart(split: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges (a, b) that the buckets split (key, node, n) still lack: of close pairs of one bucket whose roots differ."""
+    state = durable(split.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    main = state.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    open_ = durable(main.where("most < all").select("key", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("sides"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
+    state = state.join(open_, "key")
+    place = lambda name, k: F.pmod(F.xxhash64(F.lit(name), "key", "node"), F.col(k)).cast("int").alias(name)
+    every = lambda name, k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(name)
+    probes = state.where("root <> main").select("key", "node", "root", F.lit(True).alias("probe"), place("side", "sides"), every("block", "blocks"))
+    rest = state.select("key", "node", "root", F.lit(False).alias("probe"), every("side", "sides"), place("block", "blocks"))
+    rows = probes.unionByName(rest).join(sigs, "node").select(F.xxhash64("key", "side", "block").alias("grp"), "probe", "node", "sig", "root")
+    return _by_group(rows, ["grp"]).mapInArrow(_block_pairs, "a binary, b binary").distinct()
 
 
 def _by_group(df: DataFrame, keys: list[str], more: list[str] | None = None) -> DataFrame:
@@ -297,7 +345,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     n: words in a shingle; threshold: the least Jaccard similarity of linked texts, in hundredths."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
     signed = durable(source.mapInArrow(_sign(n), _SIGNED))
-    clusters = durable(connected(durable(_candidates(signed))).withColumnRenamed("root", "cluster"))
+    clusters = _candidates(signed).withColumnRenamed("root", "cluster")
     links = _confirmed_links(source, signed, clusters, n, threshold)
     roots = connected(links)
     named = signed.select("doc_id", "text_key", "n_shingles", "node")

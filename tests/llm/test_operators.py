@@ -234,3 +234,18 @@ def test_url_filter(spark, sf):
     redirects = spark.createDataFrame([("http://m.com/1", "http://a.net/x")], "from_url string, to_url string")
     one = url_filter.filter_urls(spark.createDataFrame([(1, "http://m.com/1", None)], "page_id long, url string, html string"), url_filter.RULES, redirects)
     assert one.first().verdict == "block"
+
+
+def test_near_duplicates_in_split_buckets(spark, monkeypatch):
+    """Families of near copies that all share one long passage. Every bucket is split into far more random parts than it has nodes,
+    without pivots, so that only the comparison of what is still apart can find the families."""
+    monkeypatch.setattr(neardup, "GROUP", 0.01)
+    monkeypatch.setattr(neardup, "PIVOTS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 5, raising=False)
+    common = [f"c{k}" for k in range(80)]
+    texts = [[*common, *(f"f{f}w{k}" for k in range(50)), *(f"m{f}x{m}y{k}" for k in range(6))] for f in range(25) for m in range(3)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = df.collect()
+    _, least, _ = components(rows, 5)
+    assert len(set(least)) == 25
+    same([(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()], [(r.doc_id, c) for r, c in zip(rows, least, strict=True)])
