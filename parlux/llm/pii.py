@@ -1,13 +1,16 @@
 """Personal data replaced by surrogates.
 
-Detected entities get replacements of their own kind: keyed, so that nobody without the key can undo them; the same for every mention
-of an entity, in all texts (coreference); different for different entities (distinctness).
+Detected entities get replacements of their own kind: keyed, so that nobody without the key can undo them; the same for every detected
+mention of an entity, in all texts (coreference); different for different entities (distinctness).
 
 Entities of a format (mail addresses, phone numbers, card, account and social security numbers, IPv4 addresses, secrets) go through a
 keyed permutation of all strings of the same format: digits stay digits, letters letters, case, separators, calling code, top-level
-domain and a card's check digit stay valid. A permutation cannot collide, and this one has no fixed point. Names (behind a title such
-as Mr. or Frau) become made-up names of the same gender, script and case, token by token, so "Mrs. Ann Lee" and later "Mrs. Lee" still
-agree. Made-up names can collide: all distinct names are found first, surrogates that two names share (or that are names of the
+domain and a card's check digit stay valid. A permutation cannot collide, and this one has no fixed point. Names (behind one or more
+titles such as Mr., Frau or Prof. Dr.; any number of tokens, initials too) become made-up names of the same gender (none behind a title
+that tells none), script and case, token by token, so "Mrs. Ann Lee" and later "Mrs. Lee" still agree. In the same text every other
+capitalised mention of a token of two letters or more ("Ann Lee said", "Lee's"), before or after, becomes what the first find with this
+token has; so does an ordinary word that is spelled like it. A person without a title anywhere in a text is not found there. Initials go
+through a keyed permutation of their alphabet. Made-up names can collide: all distinct names are found first, surrogates that two names share (or that are names of the
 corpus themselves) are drawn anew until there are none, by distributed aggregation.
 
 Defined results: a null text stays null, an empty one empty; a null doc_id is carried through; repeated rows are replaced alike; all
@@ -30,27 +33,37 @@ from parlux.llm._durable import BROADCAST_ROWS, durable, renamed
 
 KEY = b"parlux surrogates"
 ROUNDS = 8
+#: Characters that are permuted together: so many that half of them have fewer bits than a round's number.
+PIECE = 64
 #: Titles before names; a capitalised word that is none of them.
-TITLES = "Mr|Mrs|Ms|Miss|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа"
-CAPITAL = rf"(?!(?:{TITLES})\b)[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*"
+TITLES = "Mr|Mrs|Ms|Miss|Mx|Dra?|Doctor|Doktor|Professor|Profesora?|Prof|Sir|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señorita|Señora?|Srta|Sra?|Господин|Госпожа|Доктор|Профессор"
+UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+CAPITAL = rf"(?!(?:{TITLES})\b)[{UPPER}][^\W\d_]*(?:['’](?=[{UPPER}])[^\W\d_]+)*"
+#: A name's tokens: initials with a full stop, or capitalised words.
+NAME = rf"(?:[{UPPER}]\.|{CAPITAL})(?:(?:[ -]|(?<=\.)(?<!\w\w\.))(?:[{UPPER}]\.|{CAPITAL}))*"
 #: Patterns of the kinds, in order of precedence.
 KINDS = {
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"""(?<=token = ")[0-9A-Za-z_+/=-]{16,200}(?=")|(?<=token=)[0-9A-Za-z_+/=-]{16,200}|(?<=api_key=)[0-9A-Za-z_+/=-]{16,200}|\bAKIA[0-9A-Z]{16}\b""",
+    "secret": r"""(?<=token = ")[0-9A-Za-z_+/=-]{16,}(?=")|(?<=token=)[0-9A-Za-z_+/=-]{16,}|(?<=api_key=)[0-9A-Za-z_+/=-]{16,}|\bAKIA[0-9A-Z]{16}\b""",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "name": rf"\b(?:{TITLES})\.? {CAPITAL}(?:[ -]{CAPITAL}){{0,2}}",
+    "name": rf"\b(?:{TITLES})\.?(?: (?:{TITLES})\b\.?)* {NAME}",
 }
-#: Titles of women; all others of the pattern are men's.
-FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"}
+#: Titles of women, and those that tell no gender; all others of the pattern are men's.
+FEMALE = {"Mrs", "Ms", "Miss", "Dra", "Profesora", "Frau", "Fräulein", "Madame", "Mademoiselle", "Mme", "Mlle", "Señorita", "Señora", "Srta", "Sra", "Госпожа"}
+NEUTRAL = {"Mx", "Dr", "Doctor", "Doktor", "Professor", "Profesor", "Prof", "Доктор", "Профессор"}
+#: The alphabets of initials.
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 #: Consonants, vowels, and name endings of women and men, by script.
 SYLLABLES = {"latin": ("bdfghjklmnprstvz", "aeiou", "na", "ro"), "cyrillic": ("бвгджзклмнпрстфх", "аеиоу", "на", "ов")}
+_WORD = re.compile(rf"(?<![^\W\d_])[{UPPER}][^\W\d_]+")
+_TITLE = re.compile(rf"(?:{TITLES})\b")
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 #: A text without any of these holds no entity.
-_HINT = re.compile(r"@|\d[\d .()-]{6}|token|api_key|AKIA|\b(?:Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Sr|Господин|Госпожа)")
+_HINT = re.compile(r"@|\d[\d .()-]{6}|token|api_key|AKIA|\b(?:M[rsx]|Miss|D(?:r|octor|oktor)|Prof|Sir|Herr|Fr(?:au|äul)|Monsieur|Madame|Mademoi|Mme|Mlle|Señor|Sr|Господин|Госпожа|Доктор|Профессор)")
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -81,7 +94,10 @@ def moved(key: bytes, kind: str, x: int, n: int) -> int:
 
 
 def _shaped(key: bytes, kind: str, text: str, hexadecimal: bool = False) -> str:
-    """Another string of the same format: ASCII letters and digits are permuted together, case and everything else stays."""
+    """Another string of the same format: ASCII letters and digits are permuted together, case and everything else stays. A long text
+    goes piece by piece, each through a permutation of its own."""
+    if len(text) > PIECE:
+        return "".join(_shaped(key, f"{kind} {k}", text[k : k + PIECE], hexadecimal) for k in range(0, len(text), PIECE))
     low = text.lower()
     sets = ["0123456789abcdef" if hexadecimal else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" for c in low if c.isascii() and c.isalnum()]
     spots = [i for i, c in enumerate(low) if c.isascii() and c.isalnum()]
@@ -143,17 +159,16 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
 
 
 def name_tokens(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, class) of the tokens of a find of kind name that are part of the name; class: gender, if given, and script."""
-    title = re.match(r"[^\W\d_]+", text)[0]
-    gender = "f" if title in FEMALE else "m"
-    found = [m for m in re.finditer(r"[^\W\d_]+", text)][1:]
-    named = []
-    for m in found:
-        if not m[0][0].isupper():
-            break
-        named.append(m)
+    """(start, end, class) of the tokens of a find of kind name that are part of the name; class: gender, if given, and script, or initial."""
+    words = list(re.finditer(r"[^\W\d_]+", text))
+    titles = 1
+    while titles < len(words) and _TITLE.fullmatch(words[titles][0]):
+        titles += 1
+    told = [t[0] for t in words[:titles] if t[0] not in NEUTRAL]
+    gender = "s" if not told else "f" if FEMALE.intersection(told) else "m"
     script = lambda w: "cyrillic" if "Ѐ" <= w[0] <= "ӿ" else "latin"
-    return [(m.start(), m.end(), f"{'s' if k == len(named) - 1 else gender}-{script(m[0])}") for k, m in enumerate(named)]
+    named = words[titles:]
+    return [(m.start(), m.end(), "initial" if len(m[0]) == 1 else f"{'s' if k == len(named) - 1 else gender}-{script(m[0])}") for k, m in enumerate(named)]
 
 
 def made_up(key: bytes, kind: str, token: str, salt: int) -> str:
@@ -169,6 +184,11 @@ def made_up(key: bytes, kind: str, token: str, salt: int) -> str:
     return out + {"f": female, "m": male}.get(gender, "")
 
 
+def _initial(key: bytes, letter: str) -> str:
+    alphabet = next(a for a in ALPHABETS if letter in a)
+    return alphabet[moved(key, f"initial {alphabet[0]}", alphabet.index(letter), len(alphabet))]
+
+
 def _cased(like: str, text: str) -> str:
     return text.upper() if len(like) > 1 and like.isupper() else text.capitalize()
 
@@ -180,21 +200,35 @@ def finds(text: str) -> Iterator[re.Match]:
 
 def replaced(text: str, key: bytes, salts: dict[tuple[str, str], int]) -> str:
     """The text with surrogates; salts has the draws of names that are not the first."""
+    found = list(finds(text))
+    known: dict[str, str] = {}  # the name tokens of this text, each with the class of its first find
+    for m in found:
+        if m.lastgroup == "name":
+            for lo, hi, which in name_tokens(m[0]):
+                if which != "initial":
+                    known.setdefault(m[0][lo:hi].lower(), which)
+
+    def named(token: str, which: str) -> str:
+        return _initial(key, token) if which == "initial" else _cased(token, made_up(key, which, token.lower(), salts.get((which, token.lower()), 0)))
+
+    def between(part: str) -> str:
+        """What is outside of finds, with bare mentions of the text's names replaced."""
+        return _WORD.sub(lambda m: named(m[0], known[m[0].lower()]) if m[0].lower() in known else m[0], part) if known else part
+
     out, at = [], 0
-    for m in finds(text):
+    for m in found:
         kind, value = m.lastgroup, m[0]
-        out.append(text[at : m.start()])
+        out.append(between(text[at : m.start()]))
         if kind == "name":
             done = 0
             for lo, hi, which in name_tokens(value):
-                token = value[lo:hi]
-                out += [value[done:lo], _cased(token, made_up(key, which, token.lower(), salts.get((which, token.lower()), 0)))]
+                out += [value[done:lo], named(value[lo:hi], which)]
                 done = hi
             out.append(value[done:])
         else:
             out.append(surrogate(key, kind, value))
         at = m.end()
-    return "".join([*out, text[at:]]) if out else text
+    return "".join([*out, between(text[at:])]) if out else text
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +237,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             for m in finds(text or ""):
                 if m.lastgroup == "name":
-                    seen |= {(which, m[0][lo:hi].lower()) for lo, hi, which in name_tokens(m[0])}
+                    seen |= {(which, m[0][lo:hi].lower()) for lo, hi, which in name_tokens(m[0]) if which != "initial"}
         rows = sorted(seen)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "token"])
 

@@ -54,3 +54,41 @@ def test_colliding_names(spark):
     make = lambda key, kind, token, salt: f"{token[0]}{salt}" if salt < 2 else f"{token}x"
     salts = {r.token: r.salt for r in pii.name_salts(df, make=make).collect()}
     assert salts == {"adam": 1}
+
+
+#: Titles with names, each with the tokens that must not stay in clear.
+PLANTED = [
+    ("Mrs. Ann Lee", "Ann Lee"), ("Dr. Otto Kahn", "Otto Kahn"), ("Prof. Dr. Uta Brandt", "Uta Brandt"), ("Señorita Paz Rivas", "Paz Rivas"), ("Mrs. A. Wexler", "Wexler"), ("Mr. J. R. Quist", "Quist"), ("Mr. J.R. Quill", "Quill"),
+    ("Mr. Abel Bram Cord Dunn Egan", "Abel Bram Cord Dunn Egan"), ("Ms. Nora O'Brien", "Nora Brien"), ("Mademoiselle Odile-Rose Petit", "Odile Rose Petit"), ("Доктор Пётр Орлов", "Пётр Орлов"), ("Frau ZOË Ärmel", "ZOË Ärmel"),
+]
+
+
+def test_planted_names(spark):
+    texts = []
+    for find, clear in PLANTED:
+        last = clear.split()[-1]
+        texts.append(f"{last} came early. We met {find}, and {clear} said {last}'s word; {last.upper()} left.")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in pii.replace_private(df).collect():
+        find, clear = PLANTED[r.doc_id]
+        words = re.findall(r"[^\W\d_]+", r.text)
+        assert not {w.lower() for w in clear.split()} & {w.lower() for w in words}, r.text
+        # every mention of the last token became the same
+        surnames = {words[0].lower(), words[-2].lower(), re.search(r"said (\w+)'s", r.text)[1].lower()}
+        assert len(surnames) == 1 and " came early. We met " in r.text, r.text
+        assert r.text.split("We met ")[1].split()[0] == find.split()[0]
+    got = pii.replaced("Mrs. A. Lee and Mr. J. R. Lee, A. and B", b"k", {})
+    assert re.fullmatch(r"Mrs\. (?!A)[A-Z]\. ([A-Z][a-z]+) and Mr\. (?!J)[A-Z]\. (?!R)[A-Z]\. \1, A\. and B", got)
+
+
+def test_bare_names_need_a_detected_person():
+    text = "Ann Lee wrote to Bob Ray."
+    assert pii.replaced(text, b"k", {}) == text
+    got = pii.replaced(f"{text} Mr. Bob Ray came; a ray fell on Rayon and Bob2.", b"k", {})
+    assert got.startswith("Ann Lee wrote to ") and "Ray." not in got and "Bob" not in got and "a ray fell on Rayon" in got
+
+
+def test_long_secrets():
+    for n in (16, 200, 201, 5000):
+        out = pii.replaced(f'token = "{"aB3" * n}"', b"k", {})
+        assert len(out) == 10 + 3 * n and "aB3aB3" not in out
