@@ -22,7 +22,8 @@ from parlux.llm._durable import renamed
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 #: n-gram length -> the largest share of a text's word characters that may lie in repeats (the second time and later) of n-grams.
-MAX_REPEATED = {5: 0.15, 7: 0.15, 10: 0.15}
+#: Repeats of a longer n-gram lie within those of a shorter one, so each longer one has a lower threshold, or it could not decide anything.
+MAX_REPEATED = {5: 0.15, 7: 0.13, 10: 0.10}
 #: The largest share of word characters that may lie in lines equal to an earlier one.
 MAX_LINE_CHARS = 0.30
 #: The base rule: fewest words, and most percent of words in 5-word windows found twice or more.

@@ -74,6 +74,17 @@ def test_quality(docs, rows, empty):
     assert quality.quality(empty).count() == 0
 
 
+@pytest.mark.parametrize(("length", "times", "words"), [(10, 3, 160), (7, 3, 105), (5, 5, 125)])
+def test_quality_by_each_length(spark, length, times, words):
+    """A passage of so many words stands so many times in the text, so that just the rule of that n-gram length rejects it."""
+    passage = [f"p{k:03}" for k in range(length)]
+    unique = [f"w{k:03}" for k in range(words - times * length)]
+    text = " ".join(w for k in range(times) for w in [*passage, *unique[k::times]])
+    r = quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    over = [n for n, most in quality.MAX_REPEATED.items() if r[f"dup_chars_{n}"] > most * r.word_chars]
+    assert r.n_words == words and not r.base_failed and over == [length] and not r.kept
+
+
 def shingle_set(text, n):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) or (frozenset([tuple(words)]) if words else frozenset())
