@@ -1,9 +1,11 @@
 """Mixing sources to target weights.
 
 Tokens (or words) are summed per source, each source's target is derived from weights under a cap, and target / size is its repetition
-rate: every document is emitted floor(rate) times, plus one copy if its hash-seeded uniform number is below the fraction (a Bernoulli
-copy of just that probability). Of SEEDS hash seeds each source takes the one whose copies come nearest its target; that
-costs one more aggregation and keeps any single document's probability.
+rate: every document is emitted floor(rate) times, plus one copy if its hash-seeded uniform number is below the fraction (for one
+seed, a Bernoulli copy of just that probability). Of SEEDS hash seeds each source takes the one whose copies come nearest its target;
+that costs one more aggregation, brings sources near their targets, and conditions the draw: a document's probability is no longer
+the fraction. Where few documents or a long one dominate a source the difference is large: the extra copy of a source's only
+document is never emitted for a fraction clearly below 0.5, and always above, as far as the seeds hold both draws.
 
 Targets: sources share TOTAL of all sizes by weight; none gets more than CAP times its own size, and what is over goes to the others
 by weight until none is above its cap. That is target = min(CAP * size, level * weight) for one level, found exactly from running
