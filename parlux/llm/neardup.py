@@ -12,7 +12,8 @@
 4. Clusters of candidates are connected components. Each set travels once to its cluster; there pairs are confirmed on the full sets
    and joined by union-find. A cluster with more than CHUNK shingles is split into chunks: inside each, then the nodes with the
    most links against all chunks, then all nodes that are still outside the cluster's largest component against all chunks. So any
-   link between different components is found, while a chunk's memory is bounded and no group of copies is expanded into its pairs.
+   link between different components is found, and no group of copies is expanded into its pairs. A chunk's own sets are bounded, its
+   probes are not: where most of a cluster stays outside its largest component, each chunk's task holds most of the cluster.
 5. Components of the confirmed links give each text its smallest doc_id.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is its own component; a null doc_id takes part by
