@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The words of all operators: runs of anything but these white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Tables up to so many rows may be broadcast (they have a few fixed-width columns); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of up to so many bytes (values and a few bytes for each field) may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and all runs on this machine, as in
+    local tests, a temporary folder takes its place; a cluster without the setting is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         sc = spark.sparkContext
         named = sc.getCheckpointDir()
         if not named:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             named = "file://" + tempfile.mkdtemp(prefix="parlux-")
             sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -41,10 +48,48 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataF
     return docs.toDF(*new), dict(reversed(list(zip(docs.columns, new, strict=True)))), lambda df: df.select(*new).toDF(*docs.columns)
 
 
-def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it is proven to have at most BROADCAST_ROWS rows, else df itself, to be joined by a shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its values are measured to have at most BROADCAST_BYTES, else df itself, to be joined by a shuffle.
+    df should be durable: it is read once more for this."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for w in wide:
+        size = size + w
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+_Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: What forgets the tables that this worker holds since its last task.
+_holds: list[Callable[[], None]] = []
+
+
+def _begin(forget: Callable[[], None] | None) -> None:
+    if _holds and _holds[0] is not forget:
+        _holds.pop()()
+        _end(None)
+
+
+def _end(forget: Callable[[], None] | None) -> None:
+    if forget is not None and not _holds:
+        _holds.append(forget)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(work: _Work, forget: Callable[[], None] | None = None) -> _Work:
+    """work for mapInArrow, after which the worker gives free memory back. Workers are reused, so whatever one keeps adds to the memory
+    of all later tasks of its executor: tables that work keeps for its next task go (by forget, a function of a module) as soon as the
+    worker gets a task of another kind."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(forget)
+        try:
+            yield from work(batches)
+        finally:
+            _end(forget)
+
+    return done
 
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -62,28 +107,27 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list: (node, root) for every node of an edge, root being the least node of its component.
-
-    Every round hooks each node to its least neighbour, replaces all edges by those between the hooks and keeps what still joins
-    different nodes; nodes halve at least every round. Nothing is gathered: each round is two joins and an aggregation that
-    combines before its shuffle, and its result is kept durably."""
+    """Connected components of an edge list: (node, root) for every node of an edge, root being one node of its component.
+
+    Every round deals the nodes a new random order and hooks each to the first of itself and its neighbours; nodes that hook to one
+    node become one, and edges that still join different ones go on. In a random order about half of the nodes are nobody's first,
+    in a chain as in a star, so rounds grow with the logarithm of the nodes. Nothing is gathered: a round is an aggregation that
+    combines before its shuffle and two joins, in which Spark splits what a hub's edges overfill. The rounds' hooks are put together
+    at the end, from the last round, which has the fewest, to the first."""
+    rank = lambda c: F.xxhash64(F.lit(len(rounds)), c)
+    first = lambda x, y: F.struct(rank(x).alias("rank"), F.col(x).alias("node")) if x == y else F.least(first(x, x), first(y, y))
     live = durable(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and a <> b").distinct())
-    both = live.select("a").union(live.select("b")).distinct().select(F.col("a").alias("node"))
-    labels = None
+    rounds: list[DataFrame] = []
     while live.take(1):
-        hooks = durable(live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("to")))
+        both = live.select(F.col("a").alias("node"), first("a", "b").alias("first")).union(live.select("b", first("a", "b")))
+        hooks = durable(both.groupBy("node").agg(F.min("first").alias("first")).select("node", F.col("first.node").alias("to")))
         to_a, to_b = hooks.select(F.col("node").alias("a"), F.col("to").alias("ra")), hooks.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         live = durable(live.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        if labels is None:
-            labels = hooks.select("node", F.col("to").alias("root"))
-        else:
-            labels = durable(labels.join(hooks.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-    if labels is None:
-        return both.select("node", F.col("node").alias("root"))
-    # the last hooks may point at a node that itself was hooked in the same round: follow until nothing moves
-    while True:
-        step = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        moved = labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root2"), "root")
-        if not moved.where("root2 <> root").take(1):
-            return labels
-        labels = durable(moved.select("node", F.col("root2").alias("root")))
+        rounds.append(hooks)
+    if not rounds:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no edges: no rows
+    roots = rounds.pop().withColumnRenamed("to", "root")
+    while rounds:
+        later = roots.select(F.col("node").alias("to"), F.col("root"))
+        roots = durable(rounds.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+    return roots

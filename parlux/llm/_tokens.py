@@ -14,10 +14,10 @@ import pyarrow as pa
 
 from parlux.llm import _grams as G
 
-#: Parts that one worker's table holds; when it is full it is emptied.
-TABLE = 1_500_000
+#: Bytes that one worker's table holds; when it is full it is emptied.
+TABLE = 16 << 20
 #: Bytes of text that are cut and put together at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class Table:
@@ -31,6 +31,10 @@ class Table:
         self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
 
+    def bytes(self, more: int = 0) -> int:
+        """Memory with so many more parts."""
+        return 20 * (len(self.keys) + more) + self.pool.nbytes
+
     def find(self, hashes: np.ndarray, part: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(start in the pool, how many numbers) for each hash; part(i) is the i-th part's bytes."""
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -39,7 +43,7 @@ class Table:
         inside = at < len(self.keys)
         held[inside] = self.keys[at[inside]] == distinct[inside]
         if not held.all():
-            if len(self.keys) + int((~held).sum()) > TABLE and len(self.keys):
+            if len(self.keys) and self.bytes(int((~held).sum())) > TABLE:
                 self.clear()
                 return self.find(hashes, part)
             found = self.encode([part(int(i)) for i in first[~held]])
@@ -150,7 +154,12 @@ _loaded: dict[str, ByteBpe] = {}
 
 
 def byte_bpe(path: str) -> ByteBpe:
-    """The tokenizer of a file, loaded once a process."""
+    """The tokenizer of a file, loaded once a worker (until forget)."""
     if path not in _loaded:
         _loaded[path] = ByteBpe(path)
     return _loaded[path]
+
+
+def forget() -> None:
+    """Lets go of the tokenizers and their tables."""
+    _loaded.clear()

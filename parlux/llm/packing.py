@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlux.llm._durable import durable, small_or_shuffled
-from parlux.llm._tokens import byte_bpe
+from parlux.llm._durable import durable, small_or_shuffled, tidied
+from parlux.llm._tokens import byte_bpe, forget
 
 CAPACITY, END_ID = 2048, 0
 #: A sequence pattern: how many sequences have it, and their lengths in order.
@@ -138,18 +138,18 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row for each piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with_ids the ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long" + ", ids array<int>" * with_ids
-    pieces = durable(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), schema))
+    pieces = durable(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_pieces(tokenizer_path, capacity, end_id, with_ids), forget), schema))
     by_part = durable(pieces.groupBy("_part", "length").agg(F.count("*").alias("n")))
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         counts[row["length"]] = row["n"]
     offsets = by_part.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = pieces.join(small_or_shuffled(offsets, by_part.count()), ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = pieces.join(small_or_shuffled(durable(offsets)), ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     runs = _runs(plan_patterns(counts, capacity), capacity)
     placed = docs.sparkSession.createDataFrame(runs).withColumnRenamed("length", "_length")
     mine = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    found = ranked.join(small_or_shuffled(placed, runs.num_rows), mine)
+    found = ranked.join(small_or_shuffled(placed), mine)
     return found.select(*names, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"), *["ids"] * with_ids)
 
 

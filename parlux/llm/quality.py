@@ -5,7 +5,7 @@ and in repeated lines are measured. A text passes if no coverage is above its th
 
 Defined results: a null or empty text has no words, zero for every count, and fails the base rule; a null doc_id is carried through;
 repeated rows are judged each by itself and alike; further columns do not matter. A text of any length is judged whole.
-Work is row by row: no shuffle, and memory is bounded by a piece of about 1 MiB of texts, or by one longer text."""
+Work is row by row: no shuffle, and memory is bounded by a piece of about 256 KiB of texts, or by one longer text."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlux.llm import _grams as G
-from parlux.llm._durable import renamed
+from parlux.llm._durable import renamed, tidied
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -82,7 +82,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): its measures, base_failed and kept."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measured, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_measured), _SCHEMA)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offs in G.pieces(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(judge(measure(data, offs))[1]))
 
-    return back(rows.mapInArrow(passed, rows.schema))
+    return back(rows.mapInArrow(tidied(passed), rows.schema))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

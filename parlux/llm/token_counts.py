@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlux.llm import _grams as G
+from parlux.llm._durable import tidied
 from parlux.llm._tokens import PIECE, Table, _odd_docs
 
 BLANK = "▁"
@@ -115,6 +116,11 @@ def piece_counter(path: str) -> PieceCounter:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Lets go of the counters and their tables."""
+    _loaded.clear()
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit."""
 
@@ -123,7 +129,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
             for lo, hi, size, tokens in piece_counter(model_path).texts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(counted, forget), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
