@@ -1,17 +1,19 @@
 """Exact top-k search by columnar branch and bound.
 
-Candidates lie in blocks in vertical layout (one row of numbers for each dimension). For a block of queries, inner products are
-accumulated dimension block by dimension block; after each, a candidate's score can still grow by at most the product of the two
-remaining norms (Cauchy-Schwarz), so candidates whose bound is below the query's k-th best score so far are dropped and the survivors
-are compacted. A task goes through a range of candidate blocks with one block of queries, and its thresholds carry over from block
-to block; each task's lists are merged at the end. Only block rows travel, each once for every block of queries.
+Candidates lie in blocks in vertical layout (one row of numbers for each dimension), and ranges of blocks stay in place: each block
+travels once, to its range's task, and the queries, which are few, travel to every range. There a block of queries goes through the
+range's blocks. Inner products of all its pairs are accumulated dimension block by dimension block; after each, a pair's score can
+still grow by at most the product of the two remaining norms (Cauchy-Schwarz), so pairs whose bound is below the query's k-th best
+score so far are dropped and the survivors are compacted. Thresholds carry over from block to block of a range; each range's lists
+are merged at the end.
 
-Scores are integers: each component x becomes floor(scale * x). Arithmetic is exact: in float64 while no sum can pass 2**53, else in
-64-bit integers.
+Scores are integers: each component x becomes floor(scale * x). Arithmetic is exact: in float32 or float64 while no sum can pass 2**24
+or 2**53, else in 64-bit integers, else (vectors with huge components, which have blocks of their own) in Python's integers.
 
-Defined results: vectors that are null or hold a null or non-finite component, or one whose scaled value passes 2**31, take no part,
-nor do rows without id; of rows that repeat an id the least vector (in array order) counts; shorter vectors count as padded by zeros;
-a query without other rows gives no rows; ties go to the smaller id; further columns do not matter."""
+Defined results: vectors that are null or hold a null or non-finite component (or one that scale makes infinite) take no part, nor do
+rows without id; rows that repeat an id are candidates each, and queries each: a query id's list is the best over all its rows; a
+query never meets rows of its own id; shorter vectors count as padded by zeros; a query without other rows gives no rows; ties go to
+the smaller id; a score beyond a long's range is ranked as the long nearest to it, and shown so; further columns do not matter."""
 
 from __future__ import annotations
 
@@ -22,119 +24,163 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlux.llm._durable import durable
+from parlux.llm._durable import durable, tidied
 
-#: Vectors in a candidate block and in a query block, candidate blocks that a task goes through, dimensions accumulated at a time.
-BLOCK, QUERIES, RANGE, STEP = 4096, 256, 8, 16
-_BLOCK = "n int, dims int, ids binary, data binary"
+#: Vectors in a candidate block and in a query block, and dimensions accumulated at a time.
+BLOCK, QUERIES, STEP = 2048, 256, 16
+#: Bytes of candidates that a task holds at most (one block at least).
+RANGE = 32 << 20
+#: Components from this size on put a vector into the blocks of wide ones.
+WIDE = 1 << 22
+_BLOCK = "n int, dims int, wide boolean, ids binary, data binary"
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """array of floats -> array<int> of floor(scale * x), or null if the vector takes no part."""
-    whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(F.lit(scale) * x.cast("double")) < F.lit(float(1 << 31))))
-    return F.when(fine, F.transform(whole, lambda x: x.cast("int")))
+    """array of floats -> array<double> of floor(scale * x), or null if the vector takes no part."""
+    scaled = lambda x: F.lit(scale) * x.cast("double")
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(scaled(x)) < F.lit(float("inf"))))
+    # from 2**52 on every double is whole
+    return F.when(fine, F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < F.lit(float(1 << 52)), F.floor(scaled(x)).cast("double")).otherwise(scaled(x))))
 
 
 def _blocks(size: int):
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        count = 0
+        rest: dict[bool, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {False: [], True: []}
         for batch in batches:
-            rest.append(batch)
-            count += len(batch)
-            while count >= size:
-                table = pa.Table.from_batches(rest).combine_chunks()
-                yield block_row(table.slice(0, size))
-                rest, count = table.slice(size).to_batches(), count - size
-        if count:
-            yield block_row(pa.Table.from_batches(rest).combine_chunks())
+            ids, sizes, flat = batch.column(0).to_numpy(), pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).flatten().to_numpy()
+            wide = np.zeros(len(ids), bool)
+            wide[np.repeat(np.arange(len(ids)), sizes)[np.abs(flat) >= WIDE]] = True
+            for kind in (False, True):
+                mine = wide == kind
+                if mine.any():
+                    rest[kind].append((ids[mine], sizes[mine], flat[np.repeat(mine, sizes)]))
+                    if sum(len(x[0]) for x in rest[kind]) >= size:
+                        *full, last = block_rows(rest[kind], kind, size)
+                        yield from full
+                        rest[kind] = [last] if len(last[0]) else []
+        for kind, waiting in rest.items():
+            if waiting:
+                *full, last = block_rows(waiting, kind, size)
+                yield from full
+                if len(last[0]):
+                    yield block_row(*last, kind)
 
     return built
 
 
-def block_row(table: pa.Table) -> pa.RecordBatch:
-    ids, vectors = table.column(0).to_numpy(), table.column(1).combine_chunks()
-    vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
-    sizes = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = vectors.flatten().to_numpy().astype(np.int32)
+def block_rows(waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]], wide: bool, size: int) -> Iterator:
+    """Blocks of just so many vectors, and what remains."""
+    ids, sizes, flat = (np.concatenate([x[k] for x in waiting]) for k in range(3))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    whole = len(ids) // size * size
+    for lo in range(0, whole, size):
+        yield block_row(ids[lo : lo + size], sizes[lo : lo + size], flat[ends[lo] : ends[lo + size]], wide)
+    yield ids[whole:], sizes[whole:], flat[ends[whole] :]
+
+
+def block_row(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, wide: bool) -> pa.RecordBatch:
     dims = int(sizes.max(initial=0))
-    data = np.zeros((dims, len(ids)), np.int32)
-    row = np.repeat(np.arange(len(ids)), sizes)
-    data[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = flat
-    return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dims], pa.int32()), pa.array([ids.astype(np.int64).tobytes()]), pa.array([data.tobytes()])], ["n", "dims", "ids", "data"])
+    data = np.zeros((dims, len(ids)), np.float64 if wide else np.float32)
+    data[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(len(ids)), sizes)] = flat
+    return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dims], pa.int32()), pa.array([wide]), pa.array([ids.astype(np.int64).tobytes()]), pa.array([data.tobytes()])], ["n", "dims", "wide", "ids", "data"])
 
 
 class Search:
-    """The k best candidates so far of each query of a block."""
+    """The k best candidates so far of each query of a block; ids, data: the queries', a column for each."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, k: int):
-        self.ids, self.k, self.data = ids, k, data
-        self.scores = [np.zeros(0, np.int64)] * len(ids)
-        self.found = [np.zeros(0, np.int64)] * len(ids)
+        self.ids, self.data, self.k = ids, data, k
+        self.best = np.zeros((3, 0), np.int64)  # query's place, candidate's id, score
+        self.floor = np.full(len(ids), -np.inf)  # the k-th best score, if there are k
 
     def add(self, ids: np.ndarray, data: np.ndarray) -> None:
+        """Go through a block of candidates."""
         dims = max(len(data), len(self.data))
         grow = lambda x: np.vstack([x, np.zeros((dims - len(x), x.shape[1]), x.dtype)]) if len(x) < dims else x
-        data, queries = grow(data), grow(self.data)
-        top = max(1, int(np.abs(data).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, dims)
-        kind = np.float64 if top < 1 << 52 else np.int64
-        c, q = data.astype(kind), queries.astype(kind)
-        left = lambda x: np.sqrt(np.cumsum((x.astype(np.float64) ** 2)[::-1], 0)[::-1])  # noqa: E731  norms of dimension d and later
+        c, q = grow(data), grow(self.data)
+        top = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, dims)
+        if top < 1 << 52:
+            kind = np.float32 if top < 1 << 23 else np.float64
+            query, place, score = self._bounded(ids, c.astype(kind, copy=False), q.astype(kind, copy=False))
+        else:
+            exact = (lambda x: x.astype(np.int64)) if top < 1 << 62 else np.vectorize(int, otypes=[object])
+            every = np.clip(exact(q).T @ exact(c), -(1 << 63), (1 << 63) - 1).astype(np.int64) if dims else np.zeros((q.shape[1], c.shape[1]), np.int64)
+            query, place = np.nonzero(self.ids[:, None] != ids[None, :])
+            score = every[query, place]
+        self._take(query, ids[place], score.astype(np.int64))
+
+    def _bounded(self, ids: np.ndarray, c: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, candidate's place, score) of all pairs that may be among the best."""
+        dims, at = len(c), min(STEP, len(c))
+        left = lambda x: np.sqrt(np.cumsum((x.astype(np.float64) ** 2)[::-1], 0)[::-1]) * (1 + 1e-9)  # noqa: E731  norms of dimension d and later
         c_left, q_left = left(c), left(q)
-        step = min(STEP, dims) or 1
-        part = q[:step].T @ c[:step]
-        for i in range(len(self.ids)):
-            self._one(i, ids, c, q[:, i], part[i], c_left, q_left[:, i], step)
-
-    def _one(self, i: int, ids: np.ndarray, c: np.ndarray, q: np.ndarray, part: np.ndarray, c_left: np.ndarray, q_left: np.ndarray, at: int) -> None:
-        k, dims = self.k, len(c)
-        alive = np.flatnonzero(ids != self.ids[i])
-        if not len(alive):
-            return
-        floor = self.scores[i][-1] if len(self.scores[i]) == k else None
-        if floor is None and len(alive) > k and at < dims:  # the best so far, scored in full, give a first threshold
-            first = alive[np.argpartition(part[alive], -k)[-k:]]
-            floor = int((part[first] + q[at:] @ c[at:, first]).min())
-        score = part[alive]
-        while at < dims and len(alive):
-            if floor is not None:
-                bound = score + q_left[at] * c_left[at, alive] * (1 + 1e-9) + 0.5
-                keep = bound >= floor
-                if not keep.all():
-                    alive, score = alive[keep], score[keep]
+        score = q[:at].T @ c[:at]
+        other = self.ids[:, None] != ids[None, :]
+        floor = self.floor.copy()
+        if (new := np.flatnonzero(floor == -np.inf)).size and c.shape[1] > self.k + 1:
+            # the best so far, scored in full, give a first threshold (of one more than k, as one may be the query's own row)
+            first = np.argpartition(np.where(other[new], score[new], -np.inf), -self.k, axis=1)[:, -self.k :]
+            full = np.einsum("dqk,dq->qk", c[:, first], q[:, new])
+            full[~np.take_along_axis(other[new], first, 1)] = -np.inf
+            floor[new] = full.min(1)
+        query = place = None
+        c_rows, q_rows = None, None
+        while True:
+            if query is None:
+                keep = other & (score >= floor[:, None] if at >= dims else score + q_left[at][:, None] * c_left[at][None, :] + 0.5 >= floor[:, None])
+                if at >= dims or keep.mean() < 0.25:
+                    query, place = np.nonzero(keep)
+                    score = score[query, place]
+            else:
+                keep = score >= floor[query] if at >= dims else score + q_left[at][query] * c_left[at][place] + 0.5 >= floor[query]
+                query, place, score = query[keep], place[keep], score[keep]
+            if at >= dims:
+                return query, place, score
             end = min(at + STEP, dims)
-            score = score + q[at:end] @ (c[at:end, alive] if len(alive) < c.shape[1] else c[at:end])
+            if query is None:
+                score = score + q[at:end].T @ c[at:end]
+            else:
+                if c_rows is None:
+                    c_rows, q_rows = np.ascontiguousarray(c.T), np.ascontiguousarray(q.T)
+                more = np.empty(len(score), score.dtype)
+                for lo in range(0, len(score), 1 << 15):
+                    some = slice(lo, lo + (1 << 15))
+                    more[some] = np.einsum("pd,pd->p", q_rows[query[some], at:end], c_rows[place[some], at:end])
+                score = score + more
             at = end
-        if floor is not None:
-            keep = score >= floor
-            alive, score = alive[keep], score[keep]
-        score = np.concatenate([self.scores[i], score.astype(np.int64)])
-        found = np.concatenate([self.found[i], ids[alive]])
-        order = np.lexsort((found, -score))[:k]
-        self.scores[i], self.found[i] = score[order], found[order]
+
+    def _take(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip(self.best, (query, ids, score), strict=True))
+        order = np.lexsort((ids, -score.astype(np.float64) if len(score) and np.abs(score).max() < 1 << 53 else ~score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        top = rank < self.k
+        self.best = np.stack([query[top], ids[top], score[top]])
+        last = rank == self.k - 1
+        self.floor[query[last]] = score[last]
 
     def rows(self) -> pa.RecordBatch:
-        sizes = [len(s) for s in self.scores]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, sizes)), pa.array(np.concatenate(self.found)), pa.array(np.concatenate(self.scores))], ["query_id", "vec_id", "score"])
+        query, ids, score = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def _searched(k: int):
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (task, is candidate): each task's query block first, then its candidate blocks."""
-        task, search = None, None
+        """Rows sorted by (range, is query): each range's blocks first, then the query blocks one by one."""
+        at, held = None, []
         for batch in batches:
             for i in range(len(batch)):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                ids, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.int32).reshape(row["dims"], row["n"])
-                if row["task"] != task:
-                    if search is not None:
-                        yield search.rows()
-                    task, search = row["task"], Search(ids, data, k)
-                else:
-                    search.add(ids, data)
-        if search is not None:
-            yield search.rows()
+                block = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.float64 if row["wide"] else np.float32).reshape(row["dims"], row["n"])
+                if row["range"] != at:
+                    at, held = row["range"], []
+                if not row["asks"]:
+                    held.append(block)
+                    continue
+                search = Search(*block, k)
+                for candidates in held:
+                    search.add(*candidates)
+                yield search.rows()
 
     return searched
 
@@ -142,32 +188,27 @@ def _searched(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score for vectors (vec_id, embedding); is_query is over vec_id."""
     spark = vectors.sparkSession
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
-    rows = durable(whole.groupBy("vec_id").agg(F.min("v").alias("v")))
-    n, asked = rows.count(), rows.where(is_query)
-    number = lambda df: df.select(F.monotonically_increasing_id().alias("at"), "*")
-    blocks = durable(number(rows.coalesce(-(-n // (4 * BLOCK)) or 1).mapInArrow(_blocks(BLOCK), _BLOCK)))
-    queries = durable(number(asked.coalesce(-(-asked.count() // (4 * QUERIES)) or 1).mapInArrow(_blocks(QUERIES), _BLOCK)))
-    n_blocks, n_queries = blocks.count(), queries.count()
-    ranges = max(1, -(-n_blocks // RANGE))
-    numbered = lambda df, name: _dense(df).withColumnRenamed("number", name)
-    c, q = numbered(blocks, "c"), numbered(queries, "q")
-    task = F.col("q") * ranges + F.col("range")
-    every_query = c.withColumn("range", (F.col("c") % ranges)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(n_queries, 1) - 1)))).select(task.alias("task"), F.lit(1).alias("candidate"), F.col("c").alias("at"), "n", "dims", "ids", "data")
-    every_range = q.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).select(task.alias("task"), F.lit(0).alias("candidate"), F.col("q").alias("at"), "n", "dims", "ids", "data")
-    both = every_range.unionByName(every_query) if n_queries else every_range
-    parts = max(1, min(ranges * max(1, n_queries), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    lists = both.repartition(parts, "task").sortWithinPartitions("task", "candidate", "at").select("task", "n", "dims", "ids", "data").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
+    n = rows.count()
+
+    def blocks(df: DataFrame, size: int, share: int) -> DataFrame:
+        built = df.coalesce(-(-n // (4 * size * share)) or 1).mapInArrow(tidied(_blocks(size)), _BLOCK)
+        return durable(built.select(F.monotonically_increasing_id().alias("at"), "*"))
+
+    held, asked = blocks(rows, BLOCK, 1), blocks(rows.where(is_query), QUERIES, 20)
+    found = held.agg(F.count("*").alias("blocks"), F.sum(F.octet_length("data")).alias("bytes")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(found["blocks"], max(-(-(found["bytes"] or 0) // RANGE), parts)))
+    # a number for each block, by a window over one row a block of thousands of vectors
+    number = held.select("at", F.pmod(F.row_number().over(Window.orderBy("at")) - 1, F.lit(ranges)).cast("int").alias("range"))
+    placed = held.join(F.broadcast(number), "at").select("range", F.lit(False).alias("asks"), "at", "n", "dims", "wide", "ids", "data")
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"), F.lit(True).alias("asks"), "at", "n", "dims", "wide", "ids", "data")
+    both = placed.unionByName(every).repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "asks", "at")
+    lists = both.drop("at").mapInArrow(tidied(_searched(k)), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _dense(df: DataFrame) -> DataFrame:
-    """Block rows with numbers from 0 on; a window over one row a block, which holds thousands of vectors, and only its id travels."""
-    ids = df.select("at").withColumn("number", (F.row_number().over(Window.orderBy("at")) - 1).cast("int"))
-    return df.join(F.broadcast(ids), "at").drop("at")
-
-
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
