@@ -8,7 +8,7 @@ The hashes roll along a global order (range partitions, split inside a conversat
 last conversation ends (one row a partition), which gives the next partitions their start, so no conversation is gathered in a task.
 A rendering comes in parts of PART turns (nearly all have one part), so that one endless conversation is not one row either.
 
-Defined results: turns are ordered by turn (null first), role, and a hash of the text; rows that repeat all four columns are one turn;
+Defined results: turns are ordered by turn (null first), then role (its first 64 characters), then a hash of role and text; rows that repeat all four columns are one turn;
 null and empty role or text are the same; turns without conv_id are one conversation with a null id, the last among equal ones;
 further columns do not matter; an empty table gives no rows; texts of any length are rendered whole."""
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlux.llm._durable import durable, small_or_shuffled
+from parlux.llm._durable import durable, small_or_shuffled, tidied
 
 #: Turns in a part of a rendering.
 PART = 512
@@ -29,6 +29,8 @@ PART = 512
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _ROLLED = "conv long, turn long, k0 long, k1 long, pos long, h0 long, h1 long"
+#: Characters of the role that order turns of one number; with them no long text goes into the samples for the order.
+ROLE = 64
 
 
 def roll(keys: np.ndarray, first: np.ndarray, base: np.uint64, carry: int) -> np.ndarray:
@@ -115,30 +117,32 @@ def _rolled(carry: dict[int, tuple[int | None, int, int, int]]):
 
 
 def prefix_keys(turns: DataFrame) -> DataFrame:
-    """(conv, turn, k0, k1), rows distinct -> the same with pos (place in the conversation) and h0, h1 (key of the prefix that ends there)."""
-    order = [F.col("conv").asc_nulls_last(), F.col("turn").asc_nulls_first(), "k0", "k1"]
+    """(conv, turn, tie, k0, k1), rows distinct -> the same without tie, with pos (place in the conversation) and h0, h1 (key of the
+    prefix that ends there)."""
+    order = [F.col("conv").asc_nulls_last(), F.col("turn").asc_nulls_first(), "tie", "k0", "k1"]
     placed = durable(turns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     carry, conv, n, state = {}, None, 0, (0, 0)
     schema = "_part int, conv long, whole boolean, n long, h0 long, h1 long"
     mask = (1 << 64) - 1
-    for row in placed.mapInArrow(_ends, schema).orderBy("_part").collect():  # one row a partition
+    for row in placed.mapInArrow(tidied(_ends), schema).orderBy("_part").collect():  # one row a partition
         carry[row["_part"]] = (conv, n, *state)
         joins = n and row["whole"] and row["conv"] == conv
         state = tuple(((state[k] * pow(int(base), row["n"], 1 << 64) if joins else 0) + row[f"h{k}"]) & mask for k, base in enumerate(_BASES))
         conv, n = row["conv"], row["n"] + (n if joins else 0)
-    return placed.mapInArrow(_rolled(carry), _ROLLED)
+    return placed.mapInArrow(tidied(_rolled(carry)), _ROLLED)
 
 
 def _keyed(conversations: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    # the first key orders turns of one number: role first, then the text's hash
-    return rows.withColumns({"k0": F.xxhash64("role", "text"), "k1": F.xxhash64(F.lit(1), "text", "role")})
+    # turns of one number: by role, then by a hash that SQL has as well
+    tie = F.concat(F.left("role", F.lit(ROLE)), F.lit("\0"), F.md5(F.concat("role", F.lit("\0"), "text").cast("binary")))
+    return rows.withColumns({"tie": tie, "k0": F.xxhash64("role", "text"), "k1": F.xxhash64(F.lit(1), "text", "role")})
 
 
 def maximal(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((conv, n_turns, n_equal) of the maximal conversations, the turns with their prefix keys)."""
-    turns = durable(prefix_keys(_keyed(conversations).groupBy("conv", "turn", "k0", "k1").agg(F.lit(1).alias("_one")).drop("_one")))
+    turns = durable(prefix_keys(_keyed(conversations).groupBy("conv", "turn", "tie", "k0", "k1").agg(F.lit(1).alias("_one")).drop("_one")))
     size = turns.groupBy("conv").agg(F.max(F.struct("pos", "h0", "h1")).alias("last"))
     ends = size.select("conv", "last.*").groupBy("pos", "h0", "h1").agg(F.min("conv").alias("conv"), F.count("*").alias("n_equal"))
     # rows before a conversation's last one: taken by subtracting, so that no conversation is gathered
@@ -172,7 +176,7 @@ OP3_SQL = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (
-  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, left(role, 64) || chr(0) || md5(role || chr(0) || text)) AS turns FROM t GROUP BY conv_id),
 e AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_equal FROM c GROUP BY turns)
 SELECT conv_id, CAST(p AS INTEGER) AS part, len(turns) AS n_turns, n_equal,
   array_to_string(list_transform(turns[p * 512 + 1 : p * 512 + 512], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS text
