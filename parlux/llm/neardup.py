@@ -11,9 +11,9 @@
    groups only save work. A bucket of n nodes that stay apart costs n * n comparisons, in tasks of bounded memory.
 4. Clusters of candidates are connected components. Each set travels once to its cluster; there pairs are confirmed on the full sets
    and joined by union-find. A cluster with more than CHUNK shingles is split into chunks: inside each, then the nodes with the
-   most links against all chunks, then all nodes that are still outside the cluster's largest component against all chunks. So any
-   link between different components is found, and no group of copies is expanded into its pairs. A chunk's own sets are bounded, its
-   probes are not: where most of a cluster stays outside its largest component, each chunk's task holds most of the cluster.
+   most links against all chunks, then all nodes that are still outside the cluster's largest component, as blocks of probes of
+   about CHUNK shingles, each against each chunk. So any link between different components is found, no group of copies is expanded
+   into its pairs, and a task holds one chunk and one block of probes (or one longer text), however many are outside.
 5. Components of the confirmed links give each text its smallest doc_id.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is its own component; a null doc_id takes part by
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlux.llm import _grams as G
-from parlux.llm._durable import connected, durable, renamed, small_or_shuffled
+from parlux.llm._durable import connected, durable, renamed, small_or_shuffled, tidied
 
 #: Signature slots, rows of a band, and the least share of equal slots of a candidate pair.
 SLOTS, ROWS, CLOSE = 128, 4, 0.6
@@ -241,7 +241,7 @@ def _confirm(threshold: float):
     """Rows (grp, probe, node, keys) sorted by grp -> links (a, b, degree of a) confirmed on the full sets.
 
     A group is a chunk of a cluster. Without probes every pair of it is decided, as far as the two are not joined already; with
-    probes (nodes that all chunks of the cluster get) only the pairs of a probe and another node."""
+    probes (a block of nodes that meets the chunk) only the pairs of a probe and a node of the chunk."""
     percent = round(100 * threshold)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +284,7 @@ def _links(flat: np.ndarray, ends: np.ndarray, probe: np.ndarray, percent: int)
         at = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
         both = np.bincount(holder[at], minlength=m)
         linked = 100 * both >= percent * (sizes + sizes[i] - both)
+        linked &= ~probe  # probes meet each other where the other one is in the chunk
         linked[i] = False
         fresh = np.flatnonzero(linked & (root != root[i]))
         count = int(linked.sum())
@@ -312,7 +313,7 @@ def _candidates(signed: DataFrame) -> DataFrame:
     wide = finer.select("key", "node", dealt("key", F.col("n")).alias("part")).select(F.xxhash64("key", "part").alias("grp"), "node")
     fine = finer.join(sizes, "finer").where("m > 1").select("finer", "node", F.when(F.col("m") > GROUP, F.pmod(token("finer"), F.ceil(F.col("m") / GROUP))).otherwise(F.lit(0)).alias("part")).select(F.xxhash64("finer", "part").alias("grp"), "node")
     grouped = small.unionByName(wide).unionByName(fine).join(nodes.select("node", "sig"), "node").select("grp", "node", "sig")
-    edges = durable(_by_group(grouped, ["grp"]).mapInArrow(_close_pairs, "a binary, b binary").distinct())
+    edges = durable(_by_group(grouped, ["grp"]).mapInArrow(tidied(_close_pairs), "a binary, b binary").distinct())
     roots = durable(connected(edges))
     if not finer.take(1):
         return roots
@@ -331,7 +332,7 @@ def _apart(split: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
     probes = state.where("root <> main").select("key", "node", "root", F.lit(True).alias("probe"), place("side", "sides"), every("block", "blocks"))
     rest = state.select("key", "node", "root", F.lit(False).alias("probe"), every("side", "sides"), place("block", "blocks"))
     rows = probes.unionByName(rest).join(sigs, "node").select(F.xxhash64("key", "side", "block").alias("grp"), "probe", "node", "sig", "root")
-    return _by_group(rows, ["grp"]).mapInArrow(_block_pairs, "a binary, b binary").distinct()
+    return _by_group(rows, ["grp"]).mapInArrow(tidied(_block_pairs), "a binary, b binary").distinct()
 
 
 def _by_group(df: DataFrame, keys: list[str], more: list[str] | None = None) -> DataFrame:
@@ -345,7 +346,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
 
     n: words in a shingle; threshold: the least Jaccard similarity of linked texts, in hundredths."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
-    signed = durable(source.mapInArrow(_sign(n), _SIGNED))
+    signed = durable(source.mapInArrow(tidied(_sign(n)), _SIGNED))
     clusters = _candidates(signed).withColumnRenamed("root", "cluster")
     links = _confirmed_links(source, signed, clusters, n, threshold)
     roots = connected(links)
@@ -359,39 +360,44 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
 
 
 def _confirmed_links(source: DataFrame, signed: DataFrame, clusters: DataFrame, n: int, threshold: float) -> DataFrame:
-    sizes = signed.join(clusters, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("cluster").alias("cluster"))
+    sizes = signed.join(clusters, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("cluster").alias("cluster"))
     sizes = durable(sizes)
     whole = sizes.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-    placed = durable(sizes.join(whole, "cluster").select("node", "doc_id", "cluster", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
-    wanted = placed.select(F.col("doc_id").alias("_wanted")).distinct()
-    texts = source.join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    full = texts.mapInArrow(_sets(n), "node binary, keys binary")
-    sets = full.join(placed.drop("doc_id"), "node").dropDuplicates(["node"])
+    placed = durable(sizes.join(whole, "cluster").select("node", "row", "n", "cluster", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
+    wanted = placed.select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
+    texts = source.join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi")
+    full = texts.mapInArrow(tidied(_sets(n)), "node binary, keys binary")
+    sets = full.join(placed.drop("row"), "node").dropDuplicates(["node"])
     schema, group = "a binary, b binary, degree long", F.xxhash64("cluster", "chunk")
     rows = sets.select(group.alias("grp"), F.lit(False).alias("probe"), "node", "keys")
-    links = durable(_by_group(rows, ["grp"]).mapInArrow(_confirm(threshold), schema))
+    links = durable(_by_group(rows, ["grp"]).mapInArrow(tidied(_confirm(threshold)), schema))
     large = placed.where("chunks > 1")
     if not large.take(1):
         return links.select("a", "b")
     # several chunks: what is best linked meets every chunk first, then whatever is still outside the largest component
     sets = durable(sets.where("chunks > 1"))
-    spread = lambda df: df.select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "keys")
 
-    def probed(probes: DataFrame) -> DataFrame:
-        rows = spread(probes).withColumn("probe", F.lit(True)).unionByName(sets.join(probes.select("node"), "node", "left_anti").select("cluster", "chunk", "node", "keys", F.lit(False).alias("probe")))
-        rows = rows.select(F.xxhash64("cluster", "chunk").alias("grp"), "probe", "node", "keys")
-        return _by_group(rows, ["grp"]).mapInArrow(_confirm(threshold), schema)
+    def probed(chosen: DataFrame) -> DataFrame:
+        """Links of the chosen nodes: blocks of them against the chunks of their clusters."""
+        probes = sets.join(small_or_shuffled(durable(chosen.select("node"))), "node", "left_semi")
+        blocks = probes.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("blocks"))
+        blocks = small_or_shuffled(durable(blocks))
+        every = lambda k, name: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(name)
+        asks = probes.join(blocks, "cluster").select("cluster", every("chunks", "chunk"), F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("probe"), "node", "keys")
+        held = sets.join(blocks, "cluster").select("cluster", "chunk", every("blocks", "block"), F.lit(False).alias("probe"), "node", "keys")
+        rows = asks.unionByName(held).select(F.xxhash64("cluster", "chunk", "block").alias("grp"), "probe", "node", "keys")
+        return _by_group(rows, ["grp"]).mapInArrow(tidied(_confirm(threshold)), schema).where("a <> b")
 
     top = links.groupBy(F.col("a").alias("node")).agg(F.max("degree").alias("degree")).join(large, "node")
     best = top.groupBy("cluster", (F.pmod(F.xxhash64(F.lit("hub"), "node"), F.lit(HUBS))).alias("seat")).agg(F.max_by("node", F.struct("degree", "node")).alias("node"))
-    links = durable(links.unionByName(probed(sets.join(best.select("node"), "node", "left_semi"))))
+    links = durable(links.unionByName(probed(best)))
     roots = connected(links)
     state = large.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
     most = state.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     outside = durable(state.join(most, "cluster").where("root <> main").select("node"))
     if not outside.take(1):
         return links.select("a", "b")
-    return links.unionByName(durable(probed(sets.join(outside, "node", "left_semi")))).select("a", "b")
+    return links.unionByName(durable(probed(outside))).select("a", "b")
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
