@@ -4,9 +4,9 @@ A url's own verdict is that of the longest rule that fits it. Urls that redirect
 resource: connected components over these edges are found without gathering them, and a url without a rule of its own is blocked if
 any url of its component is. A rule that fits the url itself, allow or block, goes before what it inherits.
 
-Edges: for each page its canonical link (link rel=canonical) and its redirect (meta http-equiv=refresh), where the target is absolute
-or starts with / (others are ignored); further redirects can be given as a table (from_url, to_url). Nodes are urls without scheme
-and fragment, host lower-cased.
+Edges: for each page its canonical links (link rel=canonical) and its redirects (meta http-equiv=refresh), all of them, relative ones
+taken from the page's url (dot segments resolved; other schemes such as mailto: are no edges); further redirects can be given as a
+table (from_url, to_url). Nodes are urls without scheme and fragment, host lower-cased.
 
 Defined results: a null url or one without :// has empty host and path, fits no rule and has no edges: allowed; null html gives no
 edge; a null page_id is carried through; repeated rows are judged alike; an empty table gives no rows. Rules of equal length that fit:
@@ -54,13 +54,24 @@ def address(url: Column) -> Column:
 def _target(base: Column, href: Column) -> Column:
     """The node that a link on a page leads to."""
     href = F.replace(href, F.lit("&amp;"), F.lit("&"))
-    whole = F.when(F.instr(href, "://") > 0, href).when(F.startswith(href, F.lit("//")), F.concat(F.lit("http:"), href)).when(F.startswith(href, F.lit("/")), F.concat(F.lit("http://"), host(base), href))
-    return address(whole)
+    here = F.concat(F.lit("http://"), host(base))
+    way, query = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*([^#]*)", 1)
+    whole = F.when(F.instr(href, "://") > 0, href).when(F.startswith(href, F.lit("//")), F.concat(F.lit("http:"), href)).when(F.startswith(href, F.lit("/")), F.concat(here, _undotted(way), query))
+    whole = whole.when(href.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None)).when(F.startswith(href, F.lit("?")), F.concat(here, path(base), query))
+    return address(whole.otherwise(F.concat(here, _undotted(F.concat(F.lit("/"), F.regexp_extract(path(base), "^/?(.*/)?[^/]*$", 1), way)), query)))
+
+
+def _undotted(way: Column) -> Column:
+    """A path that starts with /, its segments . and .. resolved."""
+    steps = F.split(F.regexp_replace(way, r"/(\.\.?)$", "/$1/"), "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    return F.aggregate(F.slice(steps, 2, F.size(steps)), F.lit(""), step)
 
 
 def page_edges(url: Column, html: Column) -> Column:
-    """The nodes that a page's canonical link and redirect lead to (an array, perhaps empty)."""
-    found = F.array(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1))
+    """The nodes that a page's canonical links and redirects lead to (an array, perhaps empty)."""
+    tags = lambda tag, part: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
+    found = F.concat(tags(_CANONICAL, _HREF), tags(_REFRESH, _TARGET))
     return F.filter(F.transform(found, lambda h: F.when(h != "", _target(url, h))), lambda t: t.isNotNull() & (t != address(url)))
 
 
@@ -81,7 +92,7 @@ def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     table = urls.sparkSession.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    tried = urls.select("host", "path").distinct().withColumn("rule_host", F.explode(ends)).join(small_or_shuffled(table, len(rules)), "rule_host").where(F.startswith("path", "rule_path"))
+    tried = urls.select("host", "path").distinct().withColumn("rule_host", F.explode(ends)).join(small_or_shuffled(table), "rule_host").where(F.startswith("path", "rule_path"))
     text = F.concat("rule_host", "rule_path")
     best = tried.groupBy("host", "path").agg(F.max(_best(F.length(text), text, F.col("verdict"))).alias("_best"))
     return urls.join(best, ["host", "path"], "left").select(*urls.columns, "_best.rule", "_best.allowed")
@@ -120,10 +131,16 @@ p AS (
   SELECT page_id, html, rest, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^#]*)', 1) AS tail FROM parts),
 links AS (
-  SELECT host, host || tail AS a, replace(unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]), '&amp;', '&') AS href FROM p WHERE host <> ''),
+  SELECT host, path, host || tail AS a, replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))), '&amp;', '&') AS href FROM p WHERE host <> ''),
+ways AS (
+  SELECT *, regexp_replace(CASE WHEN href LIKE '/%' THEN '' ELSE '/' || regexp_extract(path, '^/?(.*/)?[^/]*$', 1) END || regexp_extract(href, '^([^?#]*)', 1), '/(\.\.?)$', '/\1/') AS way,
+    regexp_extract(href, '^[^?#]*([^#]*)', 1) AS query FROM links WHERE href <> ''),
 targets AS (
-  SELECT a, CASE WHEN position('://' IN href) > 0 THEN substr(href, position('://' IN href) + 3) WHEN href LIKE '//%' THEN substr(href, 3) WHEN href LIKE '/%' THEN host || href END AS t FROM links WHERE href <> ''),
+  SELECT a, CASE WHEN position('://' IN href) > 0 THEN substr(href, position('://' IN href) + 3) WHEN href LIKE '//%' THEN substr(href, 3)
+    WHEN regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN NULL WHEN href LIKE '?%' THEN host || path || query
+    ELSE host || list_reduce(list_concat([''], string_split(way, '/')[2:]), lambda done, x: CASE WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN x = '.' THEN done ELSE done || '/' || x END) || query END AS t FROM ways),
 edges AS (
   SELECT DISTINCT a, translate(regexp_extract(t, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '^[^/?#]*([^#]*)', 1) AS b FROM targets WHERE regexp_extract(t, '^([^/?#]*)', 1) <> ''),
 both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
