@@ -3,15 +3,17 @@
 Detected entities get replacements of their own kind: keyed, so that nobody without the key can undo them; the same for every detected
 mention of an entity, in all texts (coreference); different for different entities (distinctness).
 
-Entities of a format (mail addresses, phone numbers, card, account and social security numbers, IPv4 addresses, secrets) go through a
+Entities of a format (mail addresses, phone numbers, card, account and social security numbers, IP addresses, secrets) go through a
 keyed permutation of all strings of the same format: digits stay digits, letters letters, case, separators, calling code, top-level
 domain and a card's check digit stay valid. A permutation cannot collide, and this one has no fixed point. Names (behind one or more
 titles such as Mr., Frau or Prof. Dr.; any number of tokens, initials too) become made-up names of the same gender (none behind a title
-that tells none), script and case, token by token, so "Mrs. Ann Lee" and later "Mrs. Lee" still agree. In the same text every other
-capitalised mention of a token of two letters or more ("Ann Lee said", "Lee's"), before or after, becomes what the first find with this
-token has; so does an ordinary word that is spelled like it. A person without a title anywhere in a text is not found there. Initials go
-through a keyed permutation of their alphabet. Made-up names can collide: all distinct names are found first, surrogates that two names share (or that are names of the
-corpus themselves) are drawn anew until there are none, by distributed aggregation.
+that tells none), script and case, token by token, so "Mrs. Ann Lee", later "Mrs. Lee" and elsewhere "Mrs. Ann" still agree: a token that is found both
+as a given name and as the last one has one class in all texts, the given one found most often. In the same text every other
+capitalised mention of a token of two letters or more ("Ann Lee said", "Lee's"), before or after, becomes the same; so does an ordinary
+word that is spelled like it. A person without a title anywhere in a text is not found there. Initials go through a keyed permutation
+of their alphabet. Made-up names can collide: all distinct names are found first, surrogates that two names share (or that are names
+of the corpus themselves) are drawn anew until there are none, by distributed aggregation. What the texts need to know of that (tokens
+of several classes or later draws) is sent to every task if it is small, else joined to the texts by a shuffle.
 
 Defined results: a null text stays null, an empty one empty; a null doc_id is carried through; repeated rows are replaced alike; all
 other columns are as they were; an empty table gives no rows; a text of any length is searched whole; overlapping finds: the leftmost,
@@ -20,6 +22,7 @@ then the first kind of KINDS."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -29,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlux.llm._durable import BROADCAST_ROWS, durable, renamed
+from parlux.llm._durable import durable, renamed, tidied
 
 KEY = b"parlux surrogates"
 ROUNDS = 8
+#: Measured bytes of name choices that are sent to every task; larger ones are joined by a shuffle.
+CHOICES_BYTES = 16 << 20
 #: Characters that are permuted together: so many that half of them have fewer bits than a round's number.
 PIECE = 64
 #: Titles before names; a capitalised word that is none of them.
@@ -43,13 +48,14 @@ CAPITAL = rf"(?!(?:{TITLES})\b)[{UPPER}][^\W\d_]*(?:['’](?=[{UPPER}])[^\W\d_]+
 NAME = rf"(?:[{UPPER}]\.|{CAPITAL})(?:(?:[ -]|(?<=\.)(?<!\w\w\.))(?:[{UPPER}]\.|{CAPITAL}))*"
 #: Patterns of the kinds, in order of precedence.
 KINDS = {
-    "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"""(?<=token = ")[0-9A-Za-z_+/=-]{16,}(?=")|(?<=token=)[0-9A-Za-z_+/=-]{16,}|(?<=api_key=)[0-9A-Za-z_+/=-]{16,}|\bAKIA[0-9A-Z]{16}\b""",
-    "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "email": r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])",
+    "secret": r"""\b(?:token|api_?key|API_KEY|TOKEN)["']?(?:\s?=\s?["']?|\s?:\s?["'])(?P<value>[0-9A-Za-z_+/=-]{16,})|\bAKIA[0-9A-Z]{16}\b""",
+    "ipv6": r"(?a:(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[Ff][Ee]80|[Ff][CcDd][0-9A-Fa-f]{2}|2[0-9A-Fa-f]{3})(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:]))",
+    "ipv4": r"(?a:(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))",
+    "phone": r"(?a:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
+    "ssn": r"(?a:(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
+    "iban": r"(?a:\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
+    "card": r"(?a:(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))",
     "name": rf"\b(?:{TITLES})\.?(?: (?:{TITLES})\b\.?)* {NAME}",
 }
 #: Titles of women, and those that tell no gender; all others of the pattern are men's.
@@ -59,11 +65,16 @@ NEUTRAL = {"Mx", "Dr", "Doctor", "Doktor", "Professor", "Profesor", "Prof", "Д
 ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 #: Consonants, vowels, and name endings of women and men, by script.
 SYLLABLES = {"latin": ("bdfghjklmnprstvz", "aeiou", "na", "ro"), "cyrillic": ("бвгджзклмнпрстфх", "аеиоу", "на", "ов")}
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rf"(?<![^\W\d_])[{UPPER}][^\W\d_]+")
 _TITLE = re.compile(rf"(?:{TITLES})\b")
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
+#: Titles as Spark's expressions find them: a text without any holds no name.
+_TITLED = rf"(?:{TITLES})\.? "
+#: Calling codes of one and two digits; all others have three.
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: A text without any of these holds no entity.
-_HINT = re.compile(r"@|\d[\d .()-]{6}|token|api_key|AKIA|\b(?:M[rsx]|Miss|D(?:r|octor|oktor)|Prof|Sir|Herr|Fr(?:au|äul)|Monsieur|Madame|Mademoi|Mme|Mlle|Señor|Sr|Господин|Госпожа|Доктор|Профессор)")
+_HINT = re.compile(r"@|[0-9][0-9 .()-]{6}|[0-9A-Fa-f]:|token|TOKEN|api_?key|API_KEY|AKIA|\b(?:M[rsx]|Miss|D(?:r|octor|oktor)|Prof|Sir|Herr|Fr(?:au|äul)|Monsieur|Madame|Mademoi|Mme|Mlle|Señor|Sr|Господин|Госпожа|Доктор|Профессор)")
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -98,10 +109,10 @@ def _shaped(key: bytes, kind: str, text: str, hexadecimal: bool = False) -> str:
     goes piece by piece, each through a permutation of its own."""
     if len(text) > PIECE:
         return "".join(_shaped(key, f"{kind} {k}", text[k : k + PIECE], hexadecimal) for k in range(0, len(text), PIECE))
-    low = text.lower()
+    low = text.translate(_LOWER)
     sets = ["0123456789abcdef" if hexadecimal else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" for c in low if c.isascii() and c.isalnum()]
     spots = [i for i, c in enumerate(low) if c.isascii() and c.isalnum()]
-    shape = "".join("0" if c in "0123456789" else "a" if c.isascii() and c.isalpha() else c for c in low) if not hexadecimal else str(len(low))
+    shape = "".join("0" if c in "0123456789" or hexadecimal and c in "abcdef" else "a" if c.isascii() and c.isalpha() else c for c in low)
     x, n = 0, 1
     for i, s in zip(spots, sets, strict=True):
         x, n = x * len(s) + s.index(low[i]), n * len(s)
@@ -109,7 +120,7 @@ def _shaped(key: bytes, kind: str, text: str, hexadecimal: bool = False) -> str:
     out = list(text)
     for i, s in zip(reversed(spots), reversed(sets), strict=True):
         x, k = divmod(x, len(s))
-        out[i] = s[k].upper() if text[i].isupper() else s[k]
+        out[i] = s[k].upper() if text[i].isupper() or hexadecimal and low != text else s[k]
     return "".join(out)
 
 
@@ -134,7 +145,7 @@ def _card(key: bytes, text: str) -> str:
     return _digits(text, other)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=10_000)
 def surrogate(key: bytes, kind: str, text: str) -> str:
     """The replacement of an entity of any kind but name."""
     if kind == "email":
@@ -149,8 +160,11 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind == "card":
         return _card(key, text)
+    if kind == "ipv6":
+        return _shaped(key, kind, text, True)
     if kind == "phone" and text[0] == "+":
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|\+", text)[0]
+        digits = re.match("[0-9]*", text[1:])[0]
+        code = "+" + next((digits[:k] for k in (1, 2) if digits[:k] in CALLING), digits[:3])
         return code + _shaped(key, f"phone {code}", text[len(code) :])
     if kind == "iban":
         return text[:2] + _shaped(key, f"iban {text[:2]}", text[2:])
@@ -198,8 +212,12 @@ def finds(text: str) -> Iterator[re.Match]:
     return _FIND.finditer(text) if _HINT.search(text) else iter(())
 
 
-def replaced(text: str, key: bytes, salts: dict[tuple[str, str], int]) -> str:
-    """The text with surrogates; salts has the draws of names that are not the first."""
+#: What texts need to know of name tokens: token -> (class, draw).
+Choices = dict[str, tuple[str, int]]
+
+
+def replaced(text: str, key: bytes, choices: Choices) -> str:
+    """The text with surrogates; choices has the tokens that are not just the first draw of the one class they are found in."""
     found = list(finds(text))
     known: dict[str, str] = {}  # the name tokens of this text, each with the class of its first find
     for m in found:
@@ -209,7 +227,10 @@ def replaced(text: str, key: bytes, salts: dict[tuple[str, str], int]) -> str:
                     known.setdefault(m[0][lo:hi].lower(), which)
 
     def named(token: str, which: str) -> str:
-        return _initial(key, token) if which == "initial" else _cased(token, made_up(key, which, token.lower(), salts.get((which, token.lower()), 0)))
+        if which == "initial":
+            return _initial(key, token)
+        which, salt = choices.get(token.lower(), (which, 0))
+        return _cased(token, made_up(key, which, token.lower(), salt))
 
     def between(part: str) -> str:
         """What is outside of finds, with bare mentions of the text's names replaced."""
@@ -225,62 +246,93 @@ def replaced(text: str, key: bytes, salts: dict[tuple[str, str], int]) -> str:
                 out += [value[done:lo], named(value[lo:hi], which)]
                 done = hi
             out.append(value[done:])
+        elif m["value"] is not None:  # a secret behind its name
+            out += [text[m.start() : m.start("value")], surrogate(key, kind, m["value"])]
         else:
             out.append(surrogate(key, kind, value))
         at = m.end()
     return "".join([*out, between(text[at:])]) if out else text
 
 
+def _found_names(text: str | None) -> Iterator[tuple[str, str]]:
+    """(class, token in lower case) of the names found in a text, but initials."""
+    for m in finds(text or ""):
+        if m.lastgroup == "name":
+            yield from ((which, m[0][lo:hi].lower()) for lo, hi, which in name_tokens(m[0]) if which != "initial")
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = set()
-        for text in batch.column(0).to_pylist():
-            for m in finds(text or ""):
-                if m.lastgroup == "name":
-                    seen |= {(which, m[0][lo:hi].lower()) for lo, hi, which in name_tokens(m[0]) if which != "initial"}
+        seen = Counter(x for text in batch.column(0).to_pylist() for x in _found_names(text))
         rows = sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([seen[r] for r in rows], pa.int64())], ["kind", "token", "n"])
 
 
-def name_salts(texts: DataFrame, key: bytes = KEY, make: Callable[[bytes, str, str, int], str] = made_up) -> DataFrame:
-    """(kind, token, salt) of the names whose first draw by make collides with another name's surrogate or with a name of the corpus."""
+def name_choices(texts: DataFrame, key: bytes = KEY, make: Callable[[bytes, str, str, int], str] = made_up) -> DataFrame:
+    """(token, kind, salt) of the names of a corpus that are found in several classes, or whose first draw by make collides with another
+    name's surrogate or with a name of the corpus."""
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, tokens, salts = (batch.column(c).to_pylist() for c in ("kind", "token", "salt"))
             made = [make(key, k, t, s) for k, t, s in zip(kinds, tokens, salts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "token", "salt", "made"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["token", "kind", "mixed", "salt", "made"])
 
-    schema = "kind string, token string, salt int, made string"
-    names = durable(texts.mapInArrow(_names, "kind string, token string").distinct().withColumn("salt", F.lit(0)))
-    real = names.select(F.col("token").alias("made")).distinct()
+    schema = "token string, kind string, mixed boolean, salt int, made string"
+    found = texts.toDF("text").where(F.col("text").rlike(_TITLED)).mapInArrow(tidied(_names), "kind string, token string, n long").groupBy("token", "kind").agg(F.sum("n").alias("n"))
+    best = F.max(F.struct(~F.startswith("kind", F.lit("s")), "n", "kind"))["kind"]
+    names = durable(found.groupBy("token").agg(best.alias("kind"), (F.count("*") > 1).alias("mixed")).withColumn("salt", F.lit(0)))
+    real = names.select(F.col("token").alias("made"))
     drawn_now = durable(names.mapInArrow(drawn, schema))
     while True:
         first = drawn_now.groupBy("made").agg(F.min(F.struct("salt", "kind", "token")).alias("first"), F.count("*").alias("n")).where("n > 1").select("made", "first")
-        clash = drawn_now.join(first, "made").where(F.struct("salt", "kind", "token") != F.col("first")).select("kind", "token")
-        again = durable(clash.union(drawn_now.join(real, "made", "left_semi").select("kind", "token")).distinct())
+        clash = drawn_now.join(first, "made").where(F.struct("salt", "kind", "token") != F.col("first")).select("token")
+        again = durable(clash.union(drawn_now.join(real, "made", "left_semi").select("token")).distinct())
         if not again.take(1):
-            return drawn_now.where("salt > 0").select("kind", "token", "salt")
-        moved_on = drawn_now.join(again, ["kind", "token"], "left_semi").select("kind", "token", (F.col("salt") + 1).alias("salt")).mapInArrow(drawn, schema)
-        drawn_now = durable(drawn_now.join(again, ["kind", "token"], "left_anti").unionByName(moved_on))
+            return drawn_now.where("mixed or salt > 0").select("token", "kind", "salt")
+        moved_on = drawn_now.join(again, "token", "left_semi").select("token", "kind", "mixed", (F.col("salt") + 1).alias("salt")).mapInArrow(drawn, schema)
+        drawn_now = durable(drawn_now.join(again, "token", "left_anti").unionByName(moved_on))
+
+
+def _joined_choices(rows: DataFrame, text: str, choices: DataFrame) -> DataFrame:
+    """rows with a column _choices: what each text needs of a table that is too large for every task."""
+    held = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+    def mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(row, token) for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for token in sorted({x for _, x in _found_names(t)})]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string())], ["_row", "token"])
+
+    needed = held.select("_row", text).where(F.col(text).rlike(_TITLED)).mapInArrow(tidied(mentioned), "_row long, token string")
+    mine = needed.join(choices, "token").groupBy("_row").agg(F.collect_list(F.struct("token", "kind", "salt")).alias("_choices"))
+    return held.join(mine, "_row", "left").drop("_row")
 
 
 def replace_private(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs, all columns as they were, but text with surrogates (and n_chars, where it is there, as the new length)."""
     rows, at, back = renamed(docs)
-    place = rows.columns.index(at["text"])
-    salts = durable(name_salts(docs.select(F.col("text").cast("string").alias("text")), key))
-    if salts.count() > BROADCAST_ROWS:
-        raise ValueError("more names collide than may be sent to every task: widen made_up()")
-    known = {(r["kind"], r["token"]): r["salt"] for r in salts.collect()}  # colliding names alone, bounded by BROADCAST_ROWS
+    out = rows.withColumn(at["text"], F.col(at["text"]).cast("string"))
+    place, kinds = out.columns.index(at["text"]), out.schema
+    choices = durable(name_choices(out.select(at["text"]), key))
+    size = choices.agg(F.sum(F.octet_length("token") + 100)).first()[0] or 0
+    if size <= CHOICES_BYTES:
+        known: Choices = {r["token"]: (r["kind"], r["salt"]) for r in choices.collect()}
+    else:
+        known, out = {}, _joined_choices(out, at["text"], choices)
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t and replaced(t, key, known) for t in batch.column(place).to_pylist()]
-            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+            texts = batch.column(place).to_pylist()
+            if batch.num_columns > len(kinds):
+                mine = [{x["token"]: (x["kind"], x["salt"]) for x in c or ()} for c in batch.column(len(kinds)).to_pylist()]
+                texts = [t and replaced(t, key, m) for t, m in zip(texts, mine, strict=True)]
+            else:
+                texts = [t and replaced(t, key, known) for t in texts]
+            columns = batch.columns[: len(kinds)]
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(kinds)])
 
-    out = rows.withColumn(at["text"], F.col(at["text"]).cast("string"))
-    out = out.mapInArrow(done, out.schema)
+    out = out.mapInArrow(tidied(done), kinds)
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.when(F.col(at["n_chars"]).isNotNull(), F.length(at["text"])).cast(out.schema[at["n_chars"]].dataType))
     return back(out)

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from parlux.llm import pii
 
 
@@ -52,8 +54,91 @@ def test_documents(spark, sf):
 def test_colliding_names(spark):
     df = spark.createDataFrame([("Mr. Abel met Mr. Adam and Mr. Bert",)], "text string")
     make = lambda key, kind, token, salt: f"{token[0]}{salt}" if salt < 2 else f"{token}x"
-    salts = {r.token: r.salt for r in pii.name_salts(df, make=make).collect()}
-    assert salts == {"adam": 1}
+    assert [tuple(r) for r in pii.name_choices(df, make=make).collect()] == [("adam", "s-latin", 1)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_one_class_in_all_texts(spark, monkeypatch, most):
+    """A given name that elsewhere is the last token; the table of such names is sent to the tasks, or joined."""
+    monkeypatch.setattr(pii, "CHOICES_BYTES", most)
+    texts = ["Mrs. Ann Lee came. Ann Lee left.", "Mrs. Ann came; ANN left", "Mr. Lee", "no name", None, "", "Frau Lee Kim and Miss Lee"]
+    df = spark.createDataFrame([(k, t, "x", k) for k, t in enumerate(texts)], "doc_id long, text string, _choices string, _row int")
+    got = {r.doc_id: r for r in pii.replace_private(df).collect()}
+    assert [got[k].text for k in (3, 4, 5)] == ["no name", None, ""] and all(r._choices == "x" and r._row == k for k, r in got.items())
+    ann, lee = re.match(r"Mrs\. (\w+) (\w+) came", got[0].text).groups()
+    assert got[0].text == f"Mrs. {ann} {lee} came. {ann} {lee} left." and got[1].text == f"Mrs. {ann} came; {ann.upper()} left"
+    assert got[2].text == f"Mr. {lee}" and re.fullmatch(rf"Frau {lee} (?!Kim)\w+ and Miss {lee}", got[6].text) and len({"Ann", "Lee", ann, lee}) == 4
+
+
+def test_odd_entities():
+    out = lambda t: pii.replaced(t, b"k", {})
+    assert re.fullmatch(r"Mail \u0130[a-z]{7}@[a-z]\.com now", out("Mail \u0130stanbul@x.com now"))
+    assert re.fullmatch(r"call \+49(?!301234567)[0-9]{9}\.", out("call +49301234567."))
+    assert re.fullmatch(r"call \+35[38][0-9]{8}\.", out("call +35312345678."))
+    local = "a" * 300
+    assert local[:9] not in out(f"to {local}@{'b' * 70}.example.com")
+    for v6 in ("2001:db8:0:1:1:1:1:1", "fe80::1ff:fe23:4567:890a", "2001:DB8::1"):
+        new = out(f"at {v6} now")
+        assert v6 not in new and re.sub("[0-9a-fA-F]", "0", new[3:-4]) == re.sub("[0-9a-fA-F]", "0", v6) and next(pii.finds(new)).lastgroup == "ipv6"
+    for form in ('token = "{}"', "token='{}'", '"api_key": "{}"', "API_KEY={}", "apikey: '{}'"):
+        secret = "Zq9" * 60
+        new = out("x " + form.format(secret))
+        assert len(new) == len("x " + form.format(secret)) and new.startswith("x " + form.split("{")[0]) and "Zq9Zq9" not in new
+    assert out("std::string a::b 12:30:45 9::") == "std::string a::b 12:30:45 9::"
+    assert out("\u0661\u0662\u0663\u0664" * 4) == "\u0661\u0662\u0663\u0664" * 4
+
+
+def test_secrets_keep_no_more_than_chance():
+    import random
+
+    rng = random.Random(3)
+    for n in (64, 120, 196, 1000):
+        equal = total = 0
+        for _ in range(30):
+            secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+            new = pii.surrogate(b"k", "secret", secret)
+            equal += sum(a == b for a, b in zip(secret, new, strict=True))
+            total += n
+            assert new[:12] != secret[:12]
+        assert equal < total / 26 * 1.5 + 10
+
+
+def brute_spans(text):
+    """The entities of a text by a reading of its own: word by word, for the plain forms that the tables hold."""
+    out = []
+    for m in re.finditer(r"\S+", text):
+        word = m[0].strip(".,;:!?#*$%&|<>")
+        if re.fullmatch(r"[a-z]+\.[0-9]+@mail[0-9]\.example\.com", word):
+            out.append(("email", word))
+        elif re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", word) and all(int(x) < 256 for x in word.split(".")):
+            out.append(("ipv4", word))
+        elif re.fullmatch("[0-9]{13,19}", word):
+            out.append(("card", word))
+        elif re.fullmatch("AKIA[0-9A-Z]{16}", word):
+            out.append(("secret", word))
+        elif re.fullmatch('"[0-9a-f]{16,}"', word) and text[: m.start()].endswith("token = "):
+            out.append(("secret", word[1:-1]))
+        elif word == "+1" and (p := re.match(r"\+1 \([0-9]{3}\) 555-[0-9]{4}", text[m.start() :])):
+            out.append(("phone", p[0]))
+    return out
+
+
+def test_documents_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    some, mapped = 0, {}
+    for r in pii.replace_private(docs).collect():
+        text = before[r.doc_id] or ""
+        found = [(m.lastgroup, m["value"] or m[0]) for m in pii.finds(text)]
+        assert found == brute_spans(text)
+        some += len(found)
+        at, rest = 0, text
+        for kind, value in found:  # everything but the entities stays
+            new = mapped.setdefault((kind, value), pii.surrogate(pii.KEY, kind, value))
+            lo = rest.index(value, at)
+            rest, at = rest[:lo] + new + rest[lo + len(value) :], lo + len(new)
+        assert rest == (r.text or "")
+    assert some > 20 and len(set(mapped.values())) == len(mapped) and not set(mapped.values()) & {v for _, v in mapped}
 
 
 #: Titles with names, each with the tokens that must not stay in clear.
