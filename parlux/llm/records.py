@@ -6,7 +6,9 @@ the width of an id (a byte: 2 or 4), and the ids. Shard NNNNN.index has, for eac
 shard (two unsigned 64-bit numbers), so that records can be read in any order. Masking turns a checksum by 15 bits and adds a
 constant, so that a checksum over data that hold checksums stays sound.
 
-Shards are ranges of the order by doc_id (null first; equal ids by text), and a shard ends with its partition. Files are written under
+Shards are ranges of the order by doc_id (null first; equal ids by a hash of the text, then by text), and a shard ends with its
+partition. The ranges' bounds are sampled from ids and hashes alone: no text goes to the driver, but all travel once, as a global order asks.
+Rows that repeat both id and text are one place of that order and so lie in one shard. Files are written under
 another name and renamed when they are complete, so a task that is run again replaces its own file by an equal one.
 
 Defined results: a null or empty text is a record of the end id alone; a null doc_id is kept as absent; repeated rows are records
@@ -27,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlux.llm._durable import durable, shared_dir
-from parlux.llm._tokens import byte_bpe
+from parlux.llm._durable import durable, shared_dir, tidied
+from parlux.llm._tokens import byte_bpe, forget
 
 END_ID = 2
 #: The layouts of a frame's head and of a payload's head.
@@ -102,10 +104,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int =
     store, base = arrow_fs.FileSystem.from_uri(out)
     store.create_dir(base)
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    placed = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    manifest = durable(placed.mapInArrow(_write(tokenizer_path, out, end_id), "shard int, path string, records long, tokens long, bytes long"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_hash", F.xxhash64("text"))
+    placed = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).drop("_hash")
+    manifest = durable(placed.mapInArrow(tidied(_write(tokenizer_path, out, end_id), forget), "shard int, path string, records long, tokens long, bytes long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -143,7 +145,7 @@ def read_records(manifest: DataFrame, out: str, digest: bool = False) -> DataFra
     with digest the CRC-32 of the ids as unsigned 32-bit little-endian numbers. Shards are read in parallel, each as a stream."""
     last = "ids_crc32 long" if digest else "ids array<long>"
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "start").repartition(parts).mapInArrow(_read(out, digest), f"doc_id long, start long, n_tokens long, {last}")
+    return manifest.select("path", "start").repartition(parts).mapInArrow(tidied(_read(out, digest)), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
