@@ -14,7 +14,9 @@ sums over the sources in the order of size / weight.
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source of size 0 has target 0; a
 document of size 0 is emitted by the same draw as any other; draws depend on the seed, doc_id (null is one value) and the text, so
 reruns agree and rows that repeat both get the same copies; an empty table gives an empty mix. Columns of docs are kept as they are.
-Per-source rows are joined by a broadcast only if they are few, else by a shuffle that splits a hot source."""
+Only ids, hashes and sizes are measured durably; texts stay where they are, as each row's copies follow from its source's rate and seed.
+Per-source rows are joined by a broadcast if they are measured to be small, else by a shuffle, in which Spark splits a hot source
+(adaptive skew join)."""
 
 from __future__ import annotations
 
@@ -52,33 +54,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     return by_ratio.select("source", "source_size", "weight", F.least(F.col("source_size") * cap, F.col("weight") * height).alias("target"))
 
 
-def plan_mixture(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source): doc_id, text_key, size, source, source_size, target, rate, copies, taken."""
-    measured = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text_key"), F.col("source").cast("string"), (words(F.col("text").cast("string")) if size is None else size).alias("size"))
-    sized = durable(measured)
+def _sized(docs: DataFrame, size: Column | None) -> DataFrame:
+    return durable(docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text_key"), F.col("source").cast("string"), (words(F.col("text").cast("string")) if size is None else size).alias("size")))
+
+
+def _drawn(sized: DataFrame, weights: tuple[int, ...], total: float, cap: float) -> DataFrame:
+    """(_source, source_size, target, rate, seed) of each source."""
     by_source = durable(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, cap))
     rated = by_source.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).drop("weight")
     rated = rated.withColumnRenamed("source", "_source")
-    few = by_source.count()
-    joined = lambda table: sized.join(small_or_shuffled(table, few), F.col("source").eqNullSafe(F.col("_source")))
     fraction = F.col("rate") - F.floor("rate")
-    drawn = joined(rated).groupBy("_source").agg(*(F.sum(F.when(_uniform(k) < fraction, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)))
+    drawn = _with_source(sized, rated, "source").groupBy("_source").agg(*(F.sum(F.when(_uniform(k) < fraction, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)))
     miss = lambda k: F.abs(F.col(f"s{k}") + F.floor("rate") * F.col("source_size") - F.col("target"))
     best = drawn.withColumnRenamed("_source", "_name").join(rated, F.col("_name").eqNullSafe(F.col("_source")))
-    chosen = durable(best.select("_source", "source_size", "target", "rate", F.array_min(F.array(*(F.struct(miss(k).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS))))["seed"].alias("seed")))
-    draw = F.shiftrightunsigned(F.xxhash64("seed", "_doc", "_text_key"), 11) / F.lit(_UNIT)
-    copies = (F.floor("rate") + F.when(draw < fraction, 1).otherwise(0)).cast("long")
-    return joined(chosen).select(F.col("_doc").alias("doc_id"), F.col("_text_key").alias("text_key"), "size", "source", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return durable(best.select("_source", "source_size", "target", "rate", F.array_min(F.array(*(F.struct(miss(k).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS))))["seed"].alias("seed")))
+
+
+def _with_source(rows: DataFrame, table: DataFrame, source: str) -> DataFrame:
+    return rows.join(small_or_shuffled(table), F.col(source).cast("string").eqNullSafe(F.col("_source")))
+
+
+def _copies(doc: Column, text_key: Column) -> Column:
+    draw = F.shiftrightunsigned(F.xxhash64("seed", doc, text_key), 11) / F.lit(_UNIT)
+    return (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+
+
+def plan_mixture(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
+    """One row for each row of docs (doc_id, text, source): doc_id, text_key, size, source, source_size, target, rate, copies, taken."""
+    sized = _sized(docs, size)
+    planned = _with_source(sized, _drawn(sized, weights, total, cap), "source").withColumn("copies", _copies(F.col("_doc"), F.col("_text_key")))
+    return planned.select(F.col("_doc").alias("doc_id"), F.col("_text_key").alias("text_key"), "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix_sources(docs: DataFrame, **how) -> DataFrame:
+def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
     """The mix: each row of docs, all columns as they were, as many times as planned."""
-    plan = plan_mixture(docs, **how)
-    rates = plan.groupBy("doc_id", "text_key", F.col("source").alias("_source")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rates = durable(rates.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"), "_source", "_copies"))
+    chosen = _drawn(_sized(docs, size), weights, total, cap)
     rows, at, back = renamed(docs)
-    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(at["text"]).cast("string")) == F.col("_text_key")) & F.col(at["source"]).cast("string").eqNullSafe(F.col("_source"))
-    return back(rows.join(small_or_shuffled(rates), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
+    copies = _copies(F.col(at["doc_id"]).cast("long"), F.xxhash64(F.col(at["text"]).cast("string")))
+    mixed = _with_source(rows, chosen, at["source"]).withColumn("_copies", copies).where("_copies > 0")
+    return back(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
