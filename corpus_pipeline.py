@@ -5,10 +5,12 @@ ties, repeated rows and further columns have the results that the operators defi
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlux.llm._durable import durable
+from parlux.llm._durable import shared_dir
 from parlux.llm.mixing import mix_sources
 from parlux.llm.neardup import keep_first
 from parlux.llm.packing import pack
@@ -42,13 +44,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mixture", mixture), ("packing", packing)]
-#: SQL cannot express the stages; the tests hold them against brute force.
+#: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder, each written to the shared folder as Parquet and read again by the next one."""
+    out = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
+        docs = spark.read.parquet(f"{out}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
