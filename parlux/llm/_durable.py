@@ -109,12 +109,12 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, root) for every node of an edge, root being one node of its component.
 
-    Every round deals the nodes a new random order and hooks each to the first of itself and its neighbours; nodes that hook to one
-    node become one, and edges that still join different ones go on. In a random order about half of the nodes are nobody's first,
-    in a chain as in a star, so rounds grow with the logarithm of the nodes. Nothing is gathered: a round is an aggregation that
+    Every round hooks each node to the first, in a random order, of itself and its neighbours; nodes that hook to one node become one,
+    and edges that still join different ones go on. In a random order about half of the nodes are nobody's first, in a chain as in a
+    star, so rounds grow with the logarithm of the nodes; an order serves two rounds, as the second one ends a star. Nothing is gathered: a round is an aggregation that
     combines before its shuffle and two joins, in which Spark splits what a hub's edges overfill. The rounds' hooks are put together
     at the end, from the last round, which has the fewest, to the first."""
-    rank = lambda c: F.xxhash64(F.lit(len(rounds)), c)
+    rank = lambda c: F.xxhash64(F.lit(len(rounds) // 2), c)
     first = lambda x, y: F.struct(rank(x).alias("rank"), F.col(x).alias("node")) if x == y else F.least(first(x, x), first(y, y))
     live = durable(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and a <> b").distinct())
     rounds: list[DataFrame] = []
@@ -127,7 +127,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if not rounds:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no edges: no rows
     roots = rounds.pop().withColumnRenamed("to", "root")
-    while rounds:
-        later = roots.select(F.col("node").alias("to"), F.col("root"))
-        roots = durable(rounds.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+    for k, hooks in enumerate(reversed(rounds), 1):
+        roots = hooks.join(roots.select(F.col("node").alias("to"), "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        if k % 4 == 0 or k == len(rounds):
+            roots = durable(roots)
     return roots
