@@ -69,8 +69,8 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _WORD = re.compile(rf"(?<![^\W\d_])[{UPPER}][^\W\d_]+")
 _TITLE = re.compile(rf"(?:{TITLES})\b")
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-#: Titles as Spark's expressions find them: a text without any holds no name.
-_TITLED = rf"(?:{TITLES})\.? "
+#: What Spark looks for before Python: a capital that titles begin with, letters, and a capital behind a blank. A text without holds no name.
+_TITLED = rf"[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]\p{{L}}+\.? [{UPPER}]"
 #: Calling codes of one and two digits; all others have three.
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: A text without any of these holds no entity.
