@@ -15,50 +15,59 @@ import pyarrow as pa
 from parlux.llm import _grams as G
 
 #: Bytes that one worker's table holds; when it is full it is emptied.
-TABLE = 16 << 20
+TABLE = 32 << 20
 #: Bytes of text that are cut and put together at a time.
 PIECE = 1 << 18
 
 
 class Table:
-    """Part (by 64-bit hash) -> a few numbers, by a function that gets the parts it doesn't hold yet."""
+    """Part (by 64-bit hash) -> a few numbers, by a function that gets the parts it doesn't hold yet. Keys are sorted; new ones gather
+    in a small table of their own until it is worth merging."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], dtype=np.uint16):
         self.encode, self.dtype = encode, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))] * 2  # keys, start, size: old and new ones
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def bytes(self, more: int = 0) -> int:
         """Memory with so many more parts."""
-        return 20 * (len(self.keys) + more) + self.pool.nbytes
+        return 16 * (sum(len(keys) for keys, _, _ in self.runs) + more) + self.pool.nbytes
 
     def find(self, hashes: np.ndarray, part: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(start in the pool, how many numbers) for each hash; part(i) is the i-th part's bytes."""
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        held = np.zeros(len(distinct), bool)
-        inside = at < len(self.keys)
-        held[inside] = self.keys[at[inside]] == distinct[inside]
+        start, size, held = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
+        for keys, starts, sizes in self.runs:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                here = keys[at] == distinct
+                start[here], size[here] = starts[at[here]], sizes[at[here]]
+                held |= here
         if not held.all():
-            if len(self.keys) and self.bytes(int((~held).sum())) > TABLE:
+            new = np.flatnonzero(~held)
+            if self.used and self.bytes(len(new)) > TABLE:
                 self.clear()
                 return self.find(hashes, part)
-            found = self.encode([part(int(i)) for i in first[~held]])
-            size = np.fromiter(map(len, found), np.int32, len(found))
-            total = int(size.sum())
+            found = self.encode([part(int(i)) for i in first[new]])
+            size[new] = np.fromiter(map(len, found), np.int64, len(found))
+            total = int(size[new].sum())
             if self.used + total > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used), self.dtype)])
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used // 2), self.dtype)])
             self.pool[self.used : self.used + total] = np.fromiter((x for ids in found for x in ids), self.dtype, total)
-            start = self.used + np.cumsum(size) - size
-            self.keys = np.insert(self.keys, at[~held], distinct[~held])
-            self.start = np.insert(self.start, at[~held], start)
-            self.size = np.insert(self.size, at[~held], size)
+            start[new] = self.used + np.cumsum(size[new]) - size[new]
             self.used += total
-            at = np.searchsorted(self.keys, distinct)
-        return self.start[at][back], self.size[at][back]
+            self.runs[1] = self._merged(self.runs[1], (distinct[new], start[new].astype(np.int32), size[new].astype(np.int32)))
+            if len(self.runs[1][0]) > max(1 << 14, len(self.runs[0][0]) // 8):
+                self.runs = [self._merged(*self.runs), (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        return start[back], size[back]
+
+    @staticmethod
+    def _merged(old: tuple[np.ndarray, ...], new: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        at = np.searchsorted(old[0], new[0])
+        return tuple(np.insert(a, at, b) for a, b in zip(old, new, strict=True))
 
 
 def _odd_docs(data: np.ndarray, offs: np.ndarray, marks: list[bytes]) -> np.ndarray:
