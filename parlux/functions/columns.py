@@ -4,6 +4,8 @@ All are built-in expressions, so they stay in generated code and their filters c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from pyspark.sql import functions as F
 MIMES = ["image/mpo", "image/jpeg", "image/png", "image/gif", "image/webp"]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def b64(data: Column) -> Column:
     """Standard base64 without line breaks."""
     return F.regexp_replace(F.base64(data), r"\s", "")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def append_absent(have: DataFrame, new: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
@@ -26,17 +30,29 @@ def neighbours(df: DataFrame, by: list[str], order: list[Column | str], value: s
 
 
 def clusters(df: DataFrame, by: list[str], order: list[str], value: Column, limit: int) -> DataFrame:
-    """Rows numbered by cluster: a cluster is closed once its values sum to limit. A sum that is reset needs a fold over a group's rows."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, value.cast("long").alias("_v")))).alias("_rows"))
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("s"), F.array().cast("array<int>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        total = state["s"] + row["_v"]
-        full = total >= limit
-        return F.struct((state["c"] + F.when(full, 1).otherwise(0)).alias("c"), F.when(full, F.lit(0).cast("long")).otherwise(total).alias("s"), F.concat(state["out"], F.array(state["c"])).alias("out"))
-
-    folded = rows.withColumn("_c", F.aggregate("_rows", zero, step)["out"])
-    return folded.select(*by, F.inline(F.zip_with("_rows", "_c", lambda r, c: F.struct(*(r[o].alias(o) for o in order), c.alias("cluster")))))
+    """Rows numbered by cluster (from 0), with time, what the cluster's rows before sum to: a cluster is closed once its values sum to limit.
+
+    A sum that starts anew is no window function: groups are shuffled and sorted, and a pass over each partition's Arrow batches carries
+    the sum, so that no group is gathered."""
+    rows = df.select(*by, *order, value.cast("long").alias("_v")).repartition(*by).sortWithinPartitions(*by, *order)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cluster, total = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True))
+            numbers, times = [], []
+            for key, v in zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if key != group:
+                    group, cluster, total = key, 0, 0
+                numbers.append(cluster)
+                times.append(total)
+                total += v or 0
+                if total >= limit:
+                    cluster, total = cluster + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int32()), pa.array(times, pa.int64())], [*batch.schema.names[:-1], "cluster", "time"])
+
+    schema = StructType([*rows.schema.fields[:-1], StructField("cluster", IntegerType()), StructField("time", LongType())])
+    return rows.mapInArrow(numbered, schema)
 
 
 def best_fit(df: DataFrame, by: list[str], width: Column, height: Column, min_w: float, min_h: float, tie: str) -> DataFrame:

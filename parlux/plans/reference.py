@@ -88,7 +88,7 @@ w(user_id, event_id, k, s, cluster, c_next) AS (
 SELECT user_id, event_id, cluster FROM w""")
 def frame_clusters(t):
     """Frames of a video in clusters, each closed once it has lasted long enough."""
-    return R.clusters(t("events"), ["user_id"], ["ts", "event_id"], F.floor("value").cast("long") % 100, CLUSTER_MS).drop("ts")
+    return R.clusters(t("events"), ["user_id"], ["ts", "event_id"], F.floor("value").cast("long") % 100, CLUSTER_MS).drop("ts", "time")
 
 
 @query(f"""SELECT user_id, count(*) AS frames, CAST(sum({_MS}) AS BIGINT) AS duration, bool_and({_MS} > 0) AS sound FROM events GROUP BY user_id""")

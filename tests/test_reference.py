@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 from parlux.operators import container
-from parlux.plans import reference
+from parlux.plans import media, reference
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.mark.parametrize("name", sorted(reference.QUERIES))
+@pytest.mark.parametrize("name", sorted(reference.ORACLE_SQL))
 def test_query(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
