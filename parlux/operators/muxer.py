@@ -2,7 +2,7 @@
 
 A tree is a table of nodes: doc, path (array<int>: the places of a node among its siblings, from the root down; sorted, paths are in
 document order), id (of the element), payload (binary; null for a node with children) and, for a position, target and origin (paths):
-its payload is the 4-byte distance between these two nodes. Lengths go up a tree level by level, places are a running sum in document
+its payload is the 4-byte distance between these two nodes. Lengths are summed from a document's end, places are a running sum in its
 order, positions are joined from places: all are tables of numbers, payloads travel once, to the file that they make up.
 
 A file is one row, as large as it is; its nodes are gathered for that alone. Nodes of a document need distinct paths and a parent each,
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parlux.functions import columns as C
 
@@ -24,8 +25,8 @@ CUES, CUE, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0
 HEADER_FIELDS = [(0x4286, 1), (0x42F7, 1), (0x42F2, 4), (0x42F3, 8), (0x4282, "webm"), (0x4287, 2), (0x4285, 2)]
 TRACK_FIELDS = [(0xD7, 1), (0x73C5, 1), (0x9C, 0), (0x22B59C, "und"), (0x86, "V_VP8"), (0x258688, "VP8"), (0x83, 1)]
 WIDTH, HEIGHT, STEREO = 0xB0, 0xBA, 0x53B8
-#: Milliseconds after which a cluster is closed, bytes of a position, nanoseconds of a time unit, most levels of a tree.
-CLUSTER_MS, REFERENCE, SCALE, LEVELS = 30_000, 4, 1_000_000, 6
+#: Milliseconds after which a cluster is closed, bytes of a position, nanoseconds of a time unit.
+CLUSTER_MS, REFERENCE, SCALE = 30_000, 4, 1_000_000
 
 
 def number(value: Column | int) -> Column:
@@ -54,21 +55,49 @@ def _header(size: Column) -> Column:
     return F.unhex(F.concat(C.let(F.col("id"), C.ebml_id), C.let(size, C.ebml_size)))
 
 
+def _bytes_of_id(value: int) -> int:
+    return -(-value.bit_length() // 8)
+
+
+def _bytes_of_size(value: int) -> int:
+    return 1 if value == 1 else -(-(value - 1).bit_length() // 8) + 1
+
+
+def _sized(lean: DataFrame) -> DataFrame:
+    """lean (doc, path, id, target, origin, leaf, size of a leaf) with every node's size and head.
+
+    A document's nodes are sorted from its end, so that children come before their parent. A pass over each partition's Arrow batches
+    carries one sum a level, so that no document is gathered."""
+    import pyarrow as pa
+
+    rows = lean.repartition("doc").sortWithinPartitions("doc", F.col("path").desc())
+
+    def summed(batches):
+        group, below = None, {}
+        for batch in batches:
+            column = {name: batch.column(name).to_pylist() for name in ("doc", "path", "id", "leaf", "size")}
+            sizes, heads = [], []
+            for doc, path, name, leaf, size in zip(*column.values(), strict=True):
+                if doc != group:
+                    group, below = doc, {}
+                level = len(path)
+                size = size if leaf else below.pop(level + 1)
+                heads.append(_bytes_of_id(name) + _bytes_of_size(size))
+                sizes.append(size)
+                below[level] = below.get(level, 0) + size + heads[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(heads, pa.int64())], [*batch.schema.names[:-1], "size", "head"])
+
+    return rows.mapInArrow(summed, StructType([*rows.schema.fields, StructField("head", LongType())]))
+
+
 def laid_out(nodes: DataFrame) -> DataFrame:
     """nodes with size (of the payload), head (bytes before it), place (of the node's first byte) and payload, positions filled in.
-    The tables of numbers are persisted (and computed anew where an executor is lost), as each is used several times."""
+    The table of numbers is persisted (and computed anew where an executor is lost), as it is used three times."""
     reference = F.col("target").isNotNull()
     own = F.when(reference, REFERENCE).otherwise(F.octet_length("payload")).cast("long")
-    lean = nodes.select("doc", "path", "id", "target", "origin", (reference | F.col("payload").isNotNull()).alias("leaf"), own.alias("size")).persist()
-    head = lambda size: (F.length(C.ebml_id(F.col("id"))) / 2 + C.ebml_width(size)).cast("long")
-    sized = below = lean.where(F.col("leaf") & (F.size("path") == LEVELS))
-    for level in range(LEVELS - 1, 0, -1):  # from the deepest up: a node with children is as long as they are
-        here = lean.where(F.size("path") == level)
-        children = below.groupBy("doc", F.slice("path", 1, level).alias("path")).agg(F.sum(F.col("size") + head(F.col("size"))).alias("size"))
-        below = here.where("leaf").unionByName(here.where("not leaf").drop("size").join(children, ["doc", "path"])).persist()
-        sized = sized.unionByName(below)
+    lean = nodes.select("doc", "path", "id", "target", "origin", (reference | F.col("payload").isNotNull()).alias("leaf"), own.alias("size"))
     before = Window.partitionBy("doc").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("head", head(F.col("size"))).withColumn("place", F.coalesce(F.sum(F.col("head") + F.when(F.col("leaf"), F.col("size")).otherwise(0)).over(before), F.lit(0))).persist()
+    placed = _sized(lean).withColumn("place", F.coalesce(F.sum(F.col("head") + F.when(F.col("leaf"), F.col("size")).otherwise(0)).over(before), F.lit(0))).persist()
     spot = lambda name: placed.select("doc", F.col("path").alias(name), F.col("place").alias(f"_{name}"))
     found = placed.where("target is not null").join(spot("target"), ["doc", "target"]).join(spot("origin"), ["doc", "origin"])
     values = found.select("doc", "path", F.unhex(C.ebml_number(F.col("_target") - F.col("_origin"), REFERENCE)).alias("value"))
