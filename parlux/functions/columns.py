@@ -118,14 +118,19 @@ def ebml_number(value: Column, width: int | None = None) -> Column:
     return digits if width is None else F.when(F.length(digits) <= 2 * width, F.lpad(digits, 2 * width, "0"))
 
 
+#: The weights of red, green and blue in luma and in both chromas, in 16 bits.
+LUMA, CHROMA_U, CHROMA_V = (16839, 33059, 6420), (-9719, -19081, 28800), (28800, -24116, -4684)
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
-    return F.shiftright(16839 * r + 33059 * g + 6420 * b + F.lit((1 << 15) + (16 << 16)), 16)
+    return F.shiftright(LUMA[0] * r + LUMA[1] * g + LUMA[2] * b + F.lit((1 << 15) + (16 << 16)), 16)
 
 
 def chroma(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
     """(u, v) from the sums of four pixels."""
     clip = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(x + F.lit(257 << 17), 18)))
-    return clip(-9719 * r - 19081 * g + 28800 * b), clip(28800 * r - 24116 * g - 4684 * b)
+    mixed = lambda w: clip(w[0] * r + w[1] * g + w[2] * b)
+    return mixed(CHROMA_U), mixed(CHROMA_V)
 
 
 def aspect_fit(width: Column, height: Column, box_w: Column, box_h: Column) -> tuple[Column, Column, Column, Column]:
@@ -136,6 +141,7 @@ def aspect_fit(width: Column, height: Column, box_w: Column, box_h: Column) -> t
     return F.floor((box_w - w) / 2), F.floor((box_h - h) / 2), w, h
 
 
-def fold_checksum(values: Column, mask: int) -> Column:
-    """An order-sensitive checksum of an array of numbers."""
-    return F.aggregate(values, F.lit(0).cast("long"), lambda old, v: F.abs((3 * old + F.abs(v.cast("long")) + 1).bitwiseAND(F.lit(mask))))
+def fold_checksum(values: Column) -> Column:
+    """An order-sensitive checksum of an array of numbers: each step is cut to 32 bits with a sign, whose sign then goes."""
+    cut = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(1 << 31)) - (1 << 31)
+    return F.aggregate(values, F.lit(0).cast("long"), lambda old, v: F.abs(cut(3 * old + F.abs(v.cast("long")) + 1)))

@@ -46,13 +46,14 @@ def feed_urls(t):
     return t("orders").select("o_orderkey", feed.alias("feed"), S.relay_allowed(sent).alias("allowed"))
 
 
-@query("""SELECT doc_id, substr(text, 1, 60) AS plain, replace(replace(replace(replace(substr(text, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
-CASE WHEN position('=' IN source || '=' || lang || '=x') > 0 THEN source END AS name, lang || '=x' AS value, [substr(text, 1, 73), substr(text, 74, 78)] AS first_lines FROM documents WHERE length(text) > 200""")
+@query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, coalesce(source, lang, 'x') AS name,
+CASE WHEN source IS NOT NULL THEN coalesce(lang || '=x', 'x') WHEN lang IS NOT NULL THEN 'x' END AS value,
+array_to_string(list_prepend(substr(text, 1, 73), list_transform(range(CAST(greatest(0, ceil((length(text) - 73) / 78.0)) AS BIGINT)), lambda k: substr(text, 74 + 78 * k, 78))), '|') AS lines FROM documents WHERE text IS NOT NULL""")
 def texts_for_pages(t):
-    """Escaped text, header parts around the first =, and a text's first two lines."""
+    """Escaped texts, texts in lines, and header parts around the first =."""
     name, value = M.header_parts(F.concat_ws("=", "source", "lang", F.lit("x")))
-    rows = t("documents").where("length(text) > 200 and source is not null and lang is not null")
-    return rows.select("doc_id", F.substr("text", F.lit(1), F.lit(60)).alias("plain"), M.escaped(F.substr("text", F.lit(1), F.lit(60))).alias("escaped"), name.alias("name"), value.alias("value"), F.slice(M.lines_of(F.col("text")), 1, 2).alias("first_lines"))
+    rows = t("documents").where("text is not null")
+    return rows.select("doc_id", M.escaped(F.col("text")).alias("escaped"), name.alias("name"), value.alias("value"), F.array_join(M.lines_of(F.col("text")), "|").alias("lines"))
 
 
 @query("""SELECT c_custkey, list_sort(list_distinct(a || b)) AS added, len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 AS changed, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS holds,

@@ -55,12 +55,14 @@ def append_if_absent(t):
     return R.append_absent(have, t("documents").select("doc_id", F.lit(None).cast(have.schema["quality"].dataType).alias("quality")), ["doc_id"])
 
 
-@query("""SELECT c_nationkey, c_mktsegment FROM customer UNION ALL SELECT s_nationkey, NULL FROM supplier s
-WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey IS NOT DISTINCT FROM s.s_nationkey AND c.c_mktsegment IS NOT DISTINCT FROM NULL)""")
+@query("""WITH c AS (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey > 4),
+s AS (SELECT s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' END AS segment FROM supplier)
+SELECT * FROM c UNION ALL SELECT s_nationkey, segment FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.c_nationkey IS NOT DISTINCT FROM s.s_nationkey AND c.c_mktsegment IS NOT DISTINCT FROM s.segment)""")
 def append_albums(t):
-    """Albums are compared field by field, null equal to null."""
-    new = t("supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.lit(None).cast("string").alias("c_mktsegment"))
-    return R.append_absent(t("customer").select("c_nationkey", "c_mktsegment"), new, ["c_nationkey", "c_mktsegment"], null_safe=True)
+    """Albums are compared field by field, null equal to null; those of the first nations are in no list yet."""
+    have = t("customer").where("c_nationkey > 4").select("c_nationkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    new = t("supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").alias("c_mktsegment"))
+    return R.append_absent(have, new, ["c_nationkey", "c_mktsegment"], null_safe=True)
 
 
 @query("""SELECT p_brand, p_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY small, score, p_partkey) AS r FROM (
@@ -149,11 +151,14 @@ def stereo_candidates(t):
     return t("part").select("p_partkey", C.maybe_stereo(mime, name).alias("stereo"), C.supported_mime(mime).alias("supported"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, hex(v) AS id, lpad(hex(v + (1::BIGINT << (7 * w))), 2 * w, '0') AS size, lpad(hex(v), 8, '0') AS number FROM (
-SELECT *, CASE WHEN v = 1 THEN 1 ELSE CAST(ceil(length(bin(v - 1)) / 8.0) AS INTEGER) + 1 END AS w FROM (SELECT l_orderkey, l_linenumber, l_partkey * 16 + 4096 AS v FROM lineitem))""".replace("hex(v) AS id", "CASE WHEN length(hex(v)) % 2 = 1 THEN '0' ELSE '' END || hex(v) AS id"))
+_WIDE = "(l_partkey + 1) * (1::BIGINT << (4 * l_linenumber))"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN length(hex(v)) % 2 = 1 THEN '0' ELSE '' END || hex(v) AS id, lpad(hex(v + (1::BIGINT << (7 * w))), 2 * w, '0') AS size, CASE WHEN length(hex(v)) <= 8 THEN lpad(hex(v), 8, '0') END AS number FROM (
+SELECT *, CASE WHEN v = 1 THEN 1 ELSE CAST(ceil(length(bin(v - 1)) / 8.0) AS INTEGER) + 1 END AS w FROM (SELECT l_orderkey, l_linenumber, {_WIDE} AS v FROM lineitem))""")
 def ebml_numbers(t):
-    """Ids, variable-length sizes and fixed-width numbers of a container."""
-    v = F.col("l_partkey") * 16 + 4096
+    """Ids, variable-length sizes and fixed-width numbers of a container, of one byte to six."""
+    v = (F.col("l_partkey") + 1) * F.pow(F.lit(16), F.col("l_linenumber")).cast("long")
     return t("lineitem").select("l_orderkey", "l_linenumber", C.ebml_id(v).alias("id"), C.ebml_size(v).alias("size"), C.ebml_number(v, 4).alias("number"))
 
 
@@ -180,10 +185,10 @@ def histogram(t):
     return t("embeddings").select(F.explode(F.transform("embedding", _level)).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT vec_id, list_reduce(list_prepend(CAST(0 AS BIGINT), {_LEVELS}), lambda a, v: abs((3 * a + abs(v) + 1) & 65535)) AS checksum FROM embeddings""")
+@query(f"""SELECT vec_id, list_reduce(list_prepend(CAST(0 AS BIGINT), {_LEVELS}), lambda a, v: abs(xor((3 * a + abs(v) + 1) & 4294967295, 2147483648) - 2147483648)) AS checksum FROM embeddings""")
 def checksums(t):
     """An order-sensitive checksum of each row of levels."""
-    return t("embeddings").select("vec_id", C.fold_checksum(F.transform("embedding", _level), 65535).alias("checksum"))
+    return t("embeddings").select("vec_id", C.fold_checksum(F.transform("embedding", _level)).alias("checksum"))
 
 
 @query("""SELECT p_partkey, CAST(floor((640 - w) / 2.0) AS BIGINT) AS "left", CAST(floor((480 - h) / 2.0) AS BIGINT) AS top, w AS width, h AS height FROM (
@@ -195,10 +200,12 @@ def aspect_fit(t):
     return t("part").select("p_partkey", left.alias("left"), top.alias("top"), w.alias("width"), h.alias("height"))
 
 
-@query(f"""SELECT page_id, coalesce(regexp_matches(url, '{S.RELAYED}'), false) AS allowed FROM pages""")
+@query(f"""SELECT page_id, coalesce(regexp_matches(CASE page_id % 4 WHEN 0 THEN 'https://lh' || page_id || '.googleusercontent.com/' || url WHEN 1 THEN 'https://picasaweb.google.com/' || url WHEN 2 THEN 'http://picasaweb.google.com/' || url ELSE url END, '{S.RELAYED}'), false) AS allowed FROM pages""")
 def relayed(t):
-    """Addresses that may be relayed."""
-    return t("pages").select("page_id", S.relay_allowed(F.col("url")).alias("allowed"))
+    """Addresses that may be relayed: pages' own, and those with three services' addresses before them."""
+    key = F.col("page_id") % 4
+    url = F.when(key == 0, F.concat(F.lit("https://lh"), "page_id", F.lit(".googleusercontent.com/"), "url")).when(key == 1, F.concat(F.lit("https://picasaweb.google.com/"), "url")).when(key == 2, F.concat(F.lit("http://picasaweb.google.com/"), "url"))
+    return t("pages").select("page_id", S.relay_allowed(url.otherwise(F.col("url"))).alias("allowed"))
 
 
 @query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, value DESC) AS r FROM events WHERE value IS NOT NULL) WHERE r = 1""")
@@ -207,10 +214,11 @@ def load_progress(t):
     return flows.progress(t("events").select("user_id", "event_id", "value", "ts"), "user_id", "event_id", "value", "ts")
 
 
-@query("""SELECT event_id, CASE WHEN upper(event_type) IN ('SHOUT', 'SEVERE', 'WARNING', 'INFO', 'CONFIG', 'FINE', 'FINER', 'FINEST', 'ALL', 'OFF') THEN upper(event_type) ELSE 'INFO' END AS level FROM events""")
+@query(f"""SELECT event_id, CASE WHEN event_id % 12 < 10 THEN ({flows.LEVELS})[event_id % 12 + 1] ELSE 'INFO' END AS level FROM events""")
 def log_levels(t):
-    """Levels of relayed log records."""
-    return t("events").select("event_id", flows.log_level(F.upper("event_type")).alias("level"))
+    """Levels of relayed log records, some of them unknown or absent."""
+    names = F.array(*(F.lit(n) for n in flows.LEVELS), F.col("event_type"))
+    return t("events").select("event_id", flows.log_level(F.get(names, (F.col("event_id") % 12).cast("int"))).alias("level"))
 
 
 @query("""SELECT c_custkey, lst AS preference FROM (SELECT o_custkey AS c_custkey, o_orderstatus AS lst, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlux.functions import columns as C
+from parlux.functions import media as M
 
 #: Children that a folder listing gives at most (there is no paging), the name of a folder without metadata.
 CHILDREN, UNKNOWN = 1000, "Unknown Folder"
@@ -16,10 +17,53 @@ RELAYED = r"^https://(picasaweb.google.com|lh[0-9]+.googleusercontent.com)/.*$"
 #: Types of picked items.
 FOLDER, ALBUM, PHOTO = "application/vnd.google-apps.folder", "application/vnd.google-apps.photoalbum", "application/vnd.google-apps.photo"
 
+#: Height of a listed file's thumbnail and what its address ends with, the status of a missing feed.
+THUMB_HEIGHT, THUMB_SUFFIX, NO_FEED = 220, "=s220", 404
+
 _META = "id string, title string, mimeType string, downloadUrl string"
 _DOCS = "action string, docs array<struct<serviceId:string, mimeType:string, id:string, name:string, url:string, thumbnails:array<struct<width:string, height:string, url:string>>>>"
 
 
+_TEXT = "struct<`$t`:string>"
+_ENTRY = f"struct<`gphoto$id`:{_TEXT}, content:struct<type:string, src:string>, title:{_TEXT}, `media$group`:struct<`media$thumbnail`:string>>"
+_FEED = f"feed struct<title:{_TEXT}, entry:array<{_ENTRY}>>"
+
+
+def _number(text: Column) -> Column:
+    """The number that a text begins with."""
+    return F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("int")
+
+
+def _sizes(thumbnails: Column) -> Column:
+    return F.transform(thumbnails, lambda t: F.struct(_number(t["width"]).alias("width"), _number(t["height"]).alias("height"), t["url"].alias("url")))
+
+
+def file_thumbnails(link: Column) -> tuple[Column, Column]:
+    """(thumbnails of a listed file: one without a width if it has a link, else none; whether the link ends as it should)."""
+    one = F.array(F.struct(F.lit(None).cast("int").alias("width"), F.lit(THUMB_HEIGHT).alias("height"), link.alias("url")))
+    return F.when(link.isNotNull(), one).otherwise(F.slice(one, 1, 0)), F.endswith(link, F.lit(THUMB_SUFFIX))
+
+
+def feed_albums(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Albums and photographs of feeds.
+
+    answers: album_id, name (given), status (null for a network error), answer. An album's kind is OK, NOT_FOUND, NETWORK or UNEXPECTED;
+    an answer that is no JSON, has no feed or list of entries, or an entry without id, type, address or title is UNEXPECTED. Albums:
+    album_id, name (the feed's if it has one), kind. Photographs of those that are OK, of whatever type: album_id, place (from 0), photo_id,
+    title, mime, download_url, thumbnails. Numbers in place of texts count as texts."""
+    rows = answers.select("album_id", "name", "status", F.from_json("answer", _FEED)["feed"].alias("feed"))
+    entries = F.col("feed")["entry"]
+    fields = lambda e: (e["gphoto$id"]["$t"], e["title"]["$t"], e["content"]["type"], e["content"]["src"])
+    whole = F.coalesce(F.forall(entries, lambda e: ~F.array_contains(F.transform(F.array(*fields(e)), lambda x: x.isNull()), True)), F.lit(False))
+    status = M.status_class(F.col("status"), NO_FEED)
+    rows = rows.withColumn("kind", F.when((status == "OK") & ~whole, "UNEXPECTED").otherwise(status))
+    fine = rows.where("kind = 'OK'").select("album_id", F.posexplode(entries).alias("place", "e"))
+    photo_id, title, mime, src = fields(F.col("e"))
+    thumbs = M.one_or_many(F.col("e")["media$group"]["media$thumbnail"], "$", "struct<width:string, height:string, url:string>")
+    photos = fine.select("album_id", "place", photo_id.alias("photo_id"), title.alias("title"), mime.alias("mime"), C.download_url(src).alias("download_url"), _sizes(thumbs).alias("thumbnails"))
+    return rows.select("album_id", F.when(F.col("kind") == "OK", F.coalesce(F.nullif(F.col("feed")["title"]["$t"], F.lit("")), "name")).otherwise(F.col("name")).alias("name"), "kind"), photos
+
+
 def relay_allowed(url: Column) -> Column:
     return F.coalesce(url.rlike(RELAYED), F.lit(False))
 
@@ -67,6 +111,5 @@ def picked(answers: DataFrame) -> DataFrame:
     album = F.when((service == "picasa") & (mime == ALBUM), album_from_url(F.col("d.url"), F.col("d.id")))
     files = F.when(mime == FOLDER, "folder").when(C.supported_mime(mime), "file")
     photos = F.when((mime == ALBUM) & album.isNotNull(), "album").when(mime == PHOTO, "photo")
-    number = lambda c: F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1).try_cast("int")
-    small = F.transform(F.coalesce("d.thumbnails", F.array()), lambda t: F.struct(number(t["width"]).alias("width"), number(t["height"]).alias("height"), t["url"].alias("url")))
+    small = _sizes(F.coalesce("d.thumbnails", F.array()))
     return docs.select("answer_id", "pos", F.when(service == "docs", files).when(service == "picasa", photos).alias("kind"), "d.id", "d.name", mime.alias("mime"), "d.url", album.alias("album"), small.alias("thumbnails"))

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from parlux.operators import container
-from parlux.plans import media, reference
+from parlux.plans import loading, media, reference  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
