@@ -73,7 +73,7 @@ def feed_states(t):
     return services.feed_albums(_feeds(t))[0]
 
 
-@query(f"""SELECT l_orderkey AS album_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS place, l_orderkey || '-' || l_linenumber AS photo_id, 'p' || l_partkey AS title, 'http://h/d/' || l_linenumber AS download_url,
+@query(f"""SELECT l_orderkey AS album_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey || '"') - 1 AS INTEGER) AS place, l_orderkey || '-' || l_linenumber AS photo_id, 'p' || l_partkey AS title, 'http://h/d/' || l_linenumber AS download_url,
 CASE l_linenumber WHEN 1 THEN '1x72 t1' WHEN 2 THEN '144x72 t2|?x72 t2' ELSE '' END AS thumbnails FROM lineitem l WHERE {_COMPLETE}""")
 def feed_photographs(t):
     """Photographs of feeds with their thumbnails: none, a single one or a list of them."""
