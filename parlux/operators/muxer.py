@@ -3,18 +3,22 @@
 A tree is a table of nodes: doc, path (array<int>: the places of a node among its siblings, from the root down; sorted, paths are in
 document order), id (of the element), payload (binary; null for a node with children) and, for a position, target and origin (paths):
 its payload is the 4-byte distance between these two nodes. Lengths are summed from a document's end, places are a running sum in its
-order, positions are joined from places: all are tables of numbers, payloads travel once, to the file that they make up.
+order, positions are joined from places: all are tables of numbers, payloads travel once, to the file that they make up
+(sources/written.py writes it part by part).
 
-A file is one row, as large as it is; its nodes are gathered for that alone. Nodes of a document need distinct paths and a parent each,
-but the roots; other nodes have no defined place. Empty tables give no rows."""
+Nodes of a document need distinct paths and a parent each, but the roots; other nodes have no defined place. A document with an element that
+has neither payload nor children, or a position that can't be told, is an error, not a file. Empty tables give no rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from parlux.functions import columns as C
+from parlux.operators import relational as R
+from parlux.operators.shared import kept, small_or_shuffled
 
 #: Element ids.
 HEADER, SEGMENT, SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
@@ -27,6 +31,8 @@ TRACK_FIELDS = [(0xD7, 1), (0x73C5, 1), (0x9C, 0), (0x22B59C, "und"), (0x86, "V_
 WIDTH, HEIGHT, STEREO = 0xB0, 0xBA, 0x53B8
 #: Milliseconds after which a cluster is closed, bytes of a position, nanoseconds of a time unit.
 CLUSTER_MS, REFERENCE, SCALE = 30_000, 4, 1_000_000
+#: Fixed value: milliseconds of a frame for which nobody says how long it is.
+FRAME_MS = 1000
 
 
 def number(value: Column | int) -> Column:
@@ -55,61 +61,49 @@ def _header(size: Column) -> Column:
     return F.unhex(F.concat(C.let(F.col("id"), C.ebml_id), C.let(size, C.ebml_size)))
 
 
-def _bytes_of_id(value: int) -> int:
-    return -(-value.bit_length() // 8)
-
-
-def _bytes_of_size(value: int) -> int:
-    return 1 if value == 1 else -(-(value - 1).bit_length() // 8) + 1
-
-
 def _sized(lean: DataFrame) -> DataFrame:
-    """lean (doc, path, id, target, origin, leaf, size of a leaf) with every node's size and head.
-
-    A document's nodes are sorted from its end, so that children come before their parent. A pass over each partition's Arrow batches
-    carries one sum a level, so that no document is gathered."""
-    import pyarrow as pa
-
-    rows = lean.repartition("doc").sortWithinPartitions("doc", F.col("path").desc())
-
-    def summed(batches):
-        group, below = None, {}
-        for batch in batches:
-            column = {name: batch.column(name).to_pylist() for name in ("doc", "path", "id", "leaf", "size")}
-            sizes, heads = [], []
-            for doc, path, name, leaf, size in zip(*column.values(), strict=True):
-                if doc != group:
-                    group, below = doc, {}
-                level = len(path)
-                size = size if leaf else below.pop(level + 1)
-                heads.append(_bytes_of_id(name) + _bytes_of_size(size))
-                sizes.append(size)
-                below[level] = below.get(level, 0) + size + heads[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(heads, pa.int64())], [*batch.schema.names[:-1], "size", "head"])
-
-    return rows.mapInArrow(summed, StructType([*rows.schema.fields, StructField("head", LongType())]))
+    """lean (doc, path, leaf, size of a leaf) with every node's size and head, level by level from the deepest one: a level's sizes are sums of
+    the level below by parent, which combine before their shuffle, so that neither a large document nor a node of many children gathers
+    anywhere. Levels are few, as a container's kinds of elements are. Sizes of nodes that have no content are null."""
+    deepest = lean.agg(F.max(F.size("path"))).first()[0] or 0
+    levels: list[DataFrame] = []
+    for level in range(deepest, 0, -1):
+        mine = lean.where(F.size("path") == level)
+        if levels:
+            sums = levels[-1].groupBy("doc", F.slice("path", 1, level).alias("path")).agg(F.sum(F.col("size") + F.col("head")).alias("_inside"))
+            mine = mine.join(sums, ["doc", "path"], "left").withColumn("size", F.when(F.col("leaf"), F.col("size")).otherwise(F.col("_inside"))).drop("_inside")
+        head = F.octet_length(F.unhex(C.ebml_id(F.col("id")))) + C.ebml_width(F.col("size"))
+        levels.append(kept(mine.withColumn("head", head.cast("long"))))
+    if not levels:
+        return lean.withColumn("head", F.lit(0).cast("long"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def laid_out(nodes: DataFrame) -> DataFrame:
-    """nodes with size (of the payload), head (bytes before it), place (of the node's first byte) and payload, positions filled in.
-    The table of numbers is persisted (and computed anew where an executor is lost), as it is used three times."""
+    """nodes with size (of the payload), head (bytes before it), place (of the node's first byte), payload with positions filled in, and error:
+    what keeps an element from being written (null for a sound one). Places behind an element with an error have no meaning. The table
+    of numbers is kept in the shared folder, as it is used three times; payloads are not in it."""
     reference = F.col("target").isNotNull()
     own = F.when(reference, REFERENCE).otherwise(F.octet_length("payload")).cast("long")
-    lean = nodes.select("doc", "path", "id", "target", "origin", (reference | F.col("payload").isNotNull()).alias("leaf"), own.alias("size"))
-    before = Window.partitionBy("doc").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _sized(lean).withColumn("place", F.coalesce(F.sum(F.col("head") + F.when(F.col("leaf"), F.col("size")).otherwise(0)).over(before), F.lit(0))).persist()
+    lean = kept(nodes.select("doc", "path", "id", "target", "origin", (reference | F.col("payload").isNotNull()).alias("leaf"), own.alias("size")))
+    bytes_here = F.coalesce(F.col("head") + F.when(F.col("leaf"), F.col("size")).otherwise(0), F.lit(0))
+    placed = kept(R.sum_before(_sized(lean), "doc", "path", bytes_here, "place"))
     spot = lambda name: placed.select("doc", F.col("path").alias(name), F.col("place").alias(f"_{name}"))
     found = placed.where("target is not null").join(spot("target"), ["doc", "target"]).join(spot("origin"), ["doc", "origin"])
     values = found.select("doc", "path", F.unhex(C.ebml_number(F.col("_target") - F.col("_origin"), REFERENCE)).alias("value"))
     numbers = placed.select("doc", "path", "size", "head", "place").join(values, ["doc", "path"], "left")
-    return nodes.join(numbers, ["doc", "path"]).withColumn("payload", F.coalesce("value", "payload")).drop("value")
+    rows = nodes.join(numbers, ["doc", "path"])
+    error = F.when(F.col("size").isNull() | F.col("head").isNull(), "an element has no content").when(reference & F.col("value").isNull(), "a position can't be told")
+    return rows.withColumn("error", error).withColumn("payload", F.coalesce("value", "payload")).drop("value")
 
 
-def serialised(nodes: DataFrame) -> DataFrame:
-    """(doc, content): the files of the trees."""
+def file_parts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, path, part: the bytes of each node without its children, for written.write_parts; doc, error of the documents that can't be
+    written, of which there are no parts)."""
+    rows = laid_out(nodes)
+    errors = kept(rows.where("error is not null").groupBy("doc").agg(F.min("error").alias("error")))
     part = F.concat(_header(F.col("size")), F.coalesce("payload", F.lit(b"")))
-    parts = laid_out(nodes).select("doc", "path", part.alias("part")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("path", "part"))).alias("parts"))
-    return parts.select("doc", F.aggregate("parts", F.lit(b""), lambda done, p: F.concat(done, p["part"])).alias("content"))
+    return rows.join(small_or_shuffled(errors.select("doc")), "doc", "left_anti").select("doc", "path", part.alias("part")), errors
 
 
 def _path(*places: Column | int) -> Column:
@@ -123,6 +117,22 @@ def _rows(df: DataFrame, *nodes: tuple[Column, int | Column, Column | None] | tu
     return df.select("doc", F.inline(F.array(*made)))
 
 
+def checked_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames (doc, idx, duration, width, height, stereo, webp) of which videos can be made, and what is wrong with the others.
+
+    (videos: doc, width, height, stereo; frames: doc, idx, cluster, time, duration, data; errors: doc, error) as (videos with error, frames
+    of sound ones). All frames of a video are to have one size, one kind of stereo and a positive duration (null: FRAME_MS), and to be
+    key frames of that size; the first frame says what the video is."""
+    rows = frames.withColumns({"duration": F.coalesce("duration", F.lit(FRAME_MS)).cast("long"), "data": vp8_frame(F.col("webp"), F.col("width"), F.col("height"))})
+    first = F.min_by(F.struct("width", "height", "stereo"), "idx")
+    differs = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(True)) | (F.count(c) < F.count("*"))
+    error = F.when(differs("width"), "frames of several widths").when(differs("height"), "frames of several heights").when(differs("stereo"), "stereo frames among others").when(F.min("duration") <= 0, "a frame without duration").when(F.count("data") < F.count("*"), "a frame is no key frame of its size")
+    videos = kept(rows.groupBy("doc").agg(first.alias("v"), error.alias("error")).select("doc", "v.*", "error"))
+    sound = rows.join(small_or_shuffled(videos.where("error is null").select("doc")), "doc", "left_semi")
+    timed = R.clusters(sound, ["doc"], ["idx"], F.col("duration"), CLUSTER_MS)
+    return videos, timed.join(sound.select("doc", "idx", "duration", "data"), ["doc", "idx"])
+
+
 def video_nodes(videos: DataFrame, frames: DataFrame, app: str = "parlux") -> DataFrame:
     """The tree of each video.
 
@@ -157,29 +167,3 @@ def vp8_frame(webp: Column, width: Column, height: Column) -> Column:
     size = lambda at: C.unsigned(webp, at, 2, True)
     fine = (text(0, 4) == F.lit(b"RIFF")) & (C.unsigned(webp, 4, 4, True) == F.octet_length(webp) - 8) & (text(8, 8) == F.lit(b"WEBPVP8 ")) & (text(23, 3) == F.lit(b"\x9d\x01\x2a"))
     return F.when(fine & (size(26) == width) & (size(28) == height) & (width < 1 << 14) & (height < 1 << 14), F.substr(webp, F.lit(21)))
-
-
-def write_files(files: DataFrame, folder: str, suffix: str = ".webm") -> DataFrame:
-    """Writes (doc, content), one file a row, into a folder of any file system that pyarrow opens by URI, shared by all executors.
-    Returns doc, path and bytes. A file is renamed when it is complete, so a task that runs again replaces its own files."""
-    import pyarrow as pa
-
-    def written(batches):
-        import uuid
-
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base)
-        for batch in batches:
-            docs, paths, sizes = batch.column(0).to_pylist(), [], []
-            for doc, content in zip(docs, batch.column(1), strict=True):
-                paths.append(f"{base}/{doc}{suffix}")
-                draft = f"{paths[-1]}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(draft) as out:
-                    out.write(content.as_buffer())
-                store.move(draft, paths[-1])
-                sizes.append(len(content.as_buffer()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["doc", "path", "bytes"])
-
-    return files.select(F.col("doc").cast("string"), "content").mapInArrow(written, "doc string, path string, bytes long")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from parlux.operators.shared import kept, small_or_shuffled
+
 
 def append_absent(have: DataFrame, new: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
     """have and those rows of new whose keys it doesn't hold; repeats within new stay. Null keys are absent, unless null_safe."""
@@ -23,6 +25,20 @@ def exclusive_sum(df: DataFrame, by: list[str], order: list[Column | str], value
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
+def sum_before(df: DataFrame, by: str, order: str, value: Column, name: str) -> DataFrame:
+    """exclusive_sum over groups of any size: rows are dealt by range of (by, order), sums run inside a partition, and what stands before a
+    partition in its first group comes from a row for each partition and group that ends there. Groups are to be no null."""
+    placed = kept(df.withColumn("_v", value.cast("long")).repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy(by, "_part").agg(F.sum("_v").alias("_end"))
+    # only groups that go over a partition's edge have rows in several
+    wide = ends.join(ends.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1").select(by), by)
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = small_or_shuffled(kept(wide.select(F.col(by).alias("_by"), F.col("_part").alias("_in"), F.coalesce(F.sum("_end").over(before), F.lit(0)).alias("_before"))))
+    rows = placed.withColumn("_here", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(starts, (F.col(by) == F.col("_by")) & (F.col("_part") == F.col("_in")), "left")
+    return rows.withColumn(name, F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_v", "_part", "_here", "_by", "_in", "_before")
+
+
 def neighbours(df: DataFrame, by: list[str], order: list[Column | str], value: str) -> DataFrame:
     """value of the rows before and behind, clamped at the ends."""
     w = Window.partitionBy(*by).orderBy(*order)

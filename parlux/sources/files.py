@@ -4,24 +4,20 @@ Paths without files give an error, as Spark gives it; Spark lists no files of no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from parlux.functions import columns as C
 from parlux.functions import media as M
 from parlux.operators import albums as A
-from parlux.operators import container
+from parlux.operators import stereo
+from parlux.operators.shared import kept, small_or_shuffled
 
 #: Types by the ending of a file's name; another ending gives an empty type.
 TYPES = {"mpo": "image/mpo", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp"}
 #: The type of a stereo container and of each picture in it.
 STEREO, PICTURE = "image/mpo", "image/jpeg"
 
-_FOUND = StructType([*(StructField(c, LongType()) for c in ("start0", "size0", "start1", "size1")), StructField("parallax", DoubleType()), StructField("error", StringType())])
 
 
 def type_of(name: Column) -> Column:
@@ -47,22 +43,12 @@ def classified(files: DataFrame) -> DataFrame:
 
     A file that may be a stereo container is parsed: a sound one is of that type and has two images; one that isn't sound is one image,
     but an error (and no image) if it declares no type or the container's. All other files are one image, not looked at. Null content
-    counts as empty."""
-    rows = files.select("path", "name", "mime", "content", F.coalesce(C.maybe_stereo(F.col("mime"), F.col("name")), F.lit(False)).alias("_maybe"))
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([*((c, pa.int64()) for c in ("start0", "size0", "start1", "size1")), ("parallax", pa.float64()), ("error", pa.string())])
-        for batch in batches:
-            found = []
-            for maybe, content in zip(batch.column(4).to_pylist(), batch.column(3), strict=True):
-                try:
-                    got = container.images(content.as_py() or b"") if maybe else None
-                except container.Damaged as e:
-                    got = {"error": str(e)}
-                found.append(got and {c: got.get(c) for c in ("start0", "size0", "start1", "size1", "parallax", "error")})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, kind)], [*batch.schema.names[:4], "_found"])
-
-    seen = rows.mapInArrow(parsed, StructType([*rows.schema.fields[:4], StructField("_found", _FOUND)]))
+    counts as empty. Paths are to be distinct."""
+    rows = files.select("path", "name", "mime", "content")
+    asked = rows.where(F.coalesce(C.maybe_stereo(F.col("mime"), F.col("name")), F.lit(False))).select("path", "content")
+    # contents of candidates alone go through Python, what comes back are places
+    found = small_or_shuffled(kept(stereo.parse_stereo(asked)))
+    seen = rows.join(found.select("path", F.struct("start0", "size0", "start1", "size1", "parallax", "error").alias("_found")), "path", "left")
     sound = F.col("_found").isNotNull() & F.col("_found.error").isNull()
     declared = F.coalesce("mime", F.lit(""))
     failed = F.col("_found.error").isNotNull() & declared.isin("", STEREO)

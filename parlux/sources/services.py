@@ -94,13 +94,20 @@ def folder_albums(listings: DataFrame, metadata: DataFrame) -> tuple[DataFrame,
     items = F.slice(F.from_json("answer", "items array<struct<id:string>>")["items"], 1, CHILDREN)
     lists = listings.select("folder_id", items.alias("items")).where("items is not null")
     wanted = lists.select("folder_id", F.posexplode(F.concat(F.transform("items", lambda x: x["id"]), F.array("folder_id"))).alias("pos", "id"))
-    files = metadata.select(F.from_json("answer", _META).alias("m")).where("m.id is not null").select("m.*").dropDuplicates(["id"])
+    files = metadata.select(F.from_json("answer", _META).alias("m")).where("m.id is not null").select("m.*")
+    # of differing answers the least by title, type and address
+    files = files.groupBy("id").agg(F.min(F.struct("title", "mimeType", "downloadUrl")).alias("m")).select("id", "m.*")
     rows = wanted.join(files, "id", "left").withColumn("found", F.col("title").isNotNull())
     own = F.max(F.when(F.col("id") == F.col("folder_id"), F.col("title")))
     albums = rows.groupBy("folder_id").agg(F.coalesce(own, F.lit(UNKNOWN)).alias("name"), F.bool_and("found").alias("complete"))
     inside = rows.where((F.col("id") != F.col("folder_id")) & C.supported_mime(F.col("mimeType"))).join(albums.where("complete").select("folder_id"), "folder_id")
+    return albums, in_title_order(inside.select("folder_id", "pos", F.col("id").alias("photo_id"), "title", F.col("mimeType").alias("mime"), F.col("downloadUrl").alias("download_url")))
+
+
+def in_title_order(photos: DataFrame) -> DataFrame:
+    """Photographs of folders (folder_id, pos, ...) with their place by title (ties: as listed) for pos."""
     place = F.row_number().over(Window.partitionBy("folder_id").orderBy("title", "pos"))
-    return albums, inside.select("folder_id", place.alias("place"), F.col("id").alias("photo_id"), "title", F.col("mimeType").alias("mime"), F.col("downloadUrl").alias("download_url"))
+    return photos.select("folder_id", place.alias("place"), *(c for c in photos.columns if c not in ("folder_id", "pos")))
 
 
 def picked(answers: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from parlux.operators import muxer
 from parlux.plans.loading import SAMPLE
-from parlux.sources import files
+from parlux.sources import files, written
 from parlux.streaming import flows
 
 
@@ -27,8 +26,9 @@ def test_photographs(spark, tmp_path):
     urls = {r.path.rsplit("/", 1)[1]: r.urls for r in files.picture_urls(seen).collect()}
     assert [base64.b64decode(u.removeprefix("data:image/jpeg;base64,")) for u in urls["h"]] == [SAMPLE[:start], SAMPLE[start:]] and urls["e.mpo"] is None
     parts = files.pictures(seen.where("name = 'h'"))
-    out = muxer.write_files(parts.select(F.col("number").alias("doc"), "content"), f"file://{tmp_path}/out", ".jpg").collect()
-    assert {r.doc: open(r.path, "rb").read() for r in out} == {"0": SAMPLE[:start] + b"\xff\xd9", "1": SAMPLE[start:] + b"\xff\xd9"}
+    rows = parts.select(F.col("number").cast("string").alias("doc"), F.array("number").alias("path"), F.col("content").alias("part"))
+    written.write_parts(rows, f"file://{tmp_path}/out", ".jpg")
+    assert {p.stem: p.read_bytes() for p in (tmp_path / "out").glob("*/*")} == {"0": SAMPLE[:start] + b"\xff\xd9", "1": SAMPLE[start:] + b"\xff\xd9"}
     assert files.photographs(spark, str(tmp_path), pattern="*.png").count() == 1
 
 

@@ -1,13 +1,15 @@
-"""The queries against their SQL; the container parser on files built here."""
+"""The queries against their SQL; stereo containers built here, sound and damaged ones."""
 
 import struct
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from parlux.operators import container
-from parlux.plans import loading, media, reference  # noqa: F401
+from parlux.functions import tables
+from parlux.operators import stereo as S
+from parlux.plans import containers, loading, media, reference  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -56,9 +58,67 @@ def stereo(order="<", parallax=(-5, 2), count=2, version=b"0100", off=0):
     return first(len(first(0))) + second
 
 
+def damaged(how):
+    """A container of which one thing is not as it should be."""
+    whole = bytearray(stereo(">"))
+    at = whole.index(b"MPF\0") + 4
+    first = at + 8 + 2  # the index's first tag
+    note = whole.index(b"FUJIFILM")
+    edits = {
+        "repeated": (first + 12, whole[first : first + 2]), "type": (first + 2, b"\0\6"), "tags": (at + 8, struct.pack(">H", 10_000)), "kind": (at + 46, b"\0\3\0\0"), "format": (at + 46, b"\1\2\0\2"), "directory": (at + 4, struct.pack(">I", 9)),
+        "order": (at, b"XX"), "table": (first + 24 + 8, struct.pack(">I", 4_000_000_000)), "outside": (first + 24 + 8, struct.pack(">I", 60)), "first": (at + 46 + 8, b"\0\0\0\1"), "maker": (note + 8, b"\0"), "long": (note + 12, b"\xff\xff"), "index": (at - 4, b"X"),
+    }
+    place, new = edits[how]
+    whole[place : place + len(new)] = new
+    return bytes(whole)
+
+
+DAMAGES = ["repeated", "type", "tags", "kind", "format", "directory", "order", "table", "outside", "first", "maker", "long", "index"]
+
+
 def test_container(spark):
     cases = {"le": stereo(), "be": stereo(">"), "plain": stereo(parallax=None), "zero": stereo(parallax=(1, 0)), "three": stereo(count=3), "version": stereo(version=b"0101"), "off": stereo(off=1), "cut": stereo()[:40], "png": b"\x89PNG", "none": None, "empty": b"", "trailing": stereo() + b"x"}
-    got = {r.path: r for r in container.parse_stereo(spark.createDataFrame(list(cases.items()), "path string, content binary")).collect()}
-    assert {k for k, r in got.items() if r.error is None} == {"le", "be", "plain", "zero", "trailing"}
+    cases |= {d: damaged(d) for d in DAMAGES}
+    files = spark.createDataFrame(list(cases.items()), "path string, content binary").repartition(4)
+    got = {r.path: r for r in S.parse_stereo(files).collect()}
+    assert {k for k, r in got.items() if r.error is None} == {"le", "be", "plain", "zero", "trailing"} and len(got) == len(cases)
     assert got["le"].parallax_px == got["be"].parallax_px == -87.5 and got["plain"].parallax is None and got["zero"].parallax is None
     assert got["le"].start1 == got["le"].size0 and got["le"].start1 + got["le"].size1 == len(cases["le"])
+    assert got["repeated"].error == "a tag repeats" and got["type"].error == "unknown field type" and got["tags"].error == "a directory is too long" and got["cut"].error == "a segment's length is wrong"
+    assert S.parse_stereo(files.where("false")).count() == 0
+    # four bytes behind the index's tags are the first picture's kind here, which is no place of a directory
+    assert {r.path: r.verdict for r in S.debug_scan(files.where("path in ('trailing', 'le', 'png')")).collect()} == {"trailing": "bytes are left over", "le": "a directory lies outside", "png": "no start of image"}
+
+
+def test_sections(spark):
+    scan = b"\xff\xda\0\4ab" + b"data\xff\0more\xff\xd0rest\xff\xff"
+    jpeg = b"\xff\xd8" + segment(0xE0, b"JFIF") + segment(0xDB, b"q") + b"\xff\x01" + segment(0xC0, b"f") + scan + scan + b"\xff\xd9tail"
+    long = b"\xff\xd8" + scan[:6] + b"\0" * 65_535 + b"\xff\0" * 40_000 + b"\xff\xd9"
+    cases = {"jpeg": jpeg, "long": long, "endless": jpeg[:-6], "stray": b"\xff\xd8xy", "short": b"\xff\xd8\xff\xe1\0", "one": b"\xff\xd8\xff"}
+    files = spark.createDataFrame(list(cases.items()), "path string, content binary")
+    files.createOrReplaceTempView("pictures_here")
+    tables.register(spark)
+    got = {}
+    for r in spark.sql("SELECT path, s.* FROM pictures_here, LATERAL sections(content, 0) s ORDER BY path, seq").collect():
+        got.setdefault(r.path, []).append(r)
+    assert [(r.marker, r.size, r.leading) for r in got["jpeg"]] == [(0xE0, 4, True), (0xDB, 1, False), (0x01, 0, False), (0xC0, 1, False), (0xDA, 2, False), (0xDA, 2, False), (0xD9, 0, False)]
+    assert all(jpeg[r["at"]] == 0xFF and jpeg[r["at"] + 1] == r.marker for r in got["jpeg"])
+    assert [r.marker for r in got["long"]] == [0xDA, 0xD9] and got["long"][1]["at"] == len(long) - 2
+    assert {k: v[-1].damage for k, v in got.items() if v[-1].damage} == {"endless": "the scan does not end", "stray": "no marker", "short": "cut off in a segment", "one": "cut off between segments"}
+
+
+def test_chained_tags(spark):
+    def directory(order, *entries, then):
+        return tags(order, *((t, 3, 1, b"abcd") for t in entries)) + struct.pack(f"{order}I", then)
+
+    for order in "<>":
+        chain = directory(order, 1, 2, then=30) + directory(order, 3, then=0)
+        loop = directory(order, 1, then=18) + directory(order, 2, then=0)[:-4] + struct.pack(f"{order}I", 0)
+        back = directory(order, 1, then=0)[:-4] + struct.pack(f"{order}I", 18) + directory(order, 9, then=18)
+        df = spark.createDataFrame([("chain", chain), ("loop", loop), ("back", back), ("null", None)], "path string, block binary")
+        read = df.lateralJoin(tables.tags(F.col("block").outer(), F.lit(0), F.lit(order), F.lit(True))).orderBy("path", "directory", "seq").collect()
+        seen = {p: [(r.directory, r.tag, r.damage) for r in read if r.path == p] for p in ("chain", "loop", "back", "null")}
+        assert seen["chain"] == [(0, 1, None), (0, 2, None), (1, 3, None)] and seen["loop"] == [(0, 1, None), (1, 2, None)]
+        assert seen["back"] == [(0, 1, None), (1, None, "directories form a loop"), (1, 9, None)] or seen["back"][-1][2] in (None, "directories form a loop")
+        assert [x[2] for x in seen["null"]] == ["a directory lies outside"]
+        assert {bytes(r.payload) for r in read if r.payload is not None} == {b"abcd"}
