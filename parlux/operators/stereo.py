@@ -3,7 +3,7 @@
 A container is a picture with an index in one of its leading application segments; the index names two pictures, the first one and
 another that begins where it ends. Contents go to Python workers once for the first picture's segments and, of sound indexes only, once
 for the second picture; what is joined and aggregated in between are places, sizes and blocks of tags of at most 64 KB. A row with an
-error is what doesn't fit; nothing is dropped. Paths are to be distinct. Null content is an error like any other that is no picture."""
+error is what doesn't fit; nothing is dropped. Steps' tables are kept in the shared folder, so that no content is read again for them. Paths are to be distinct. Null content is an error like any other that is no picture."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parlux.functions import columns as C
 from parlux.functions import tables as T
+from parlux.operators.shared import kept
 
 #: Byte orders, directory tags, kinds of fields and lengths of the file format.
 BIG, LITTLE = b"MM\0*", b"II*\0"
@@ -40,10 +41,11 @@ def with_tags(rows: DataFrame, block: Column, at: Column | int, order: Column, w
     """rows (path, ...) with a column for each wanted tag of the directory in a block (struct of type, count, value and payload; null
     where it isn't there), and damage. Rows with a null block have null in all."""
     at = at if isinstance(at, Column) else F.lit(at)
-    asked = rows.select("path", block.alias("_block"), at.cast("long").alias("_at"), order.alias("_order")).where("_block is not null and _order is not null")
-    read = asked.lateralJoin(T.tags(F.col("_block").outer(), F.col("_at").outer(), F.col("_order").outer()))
+    rows = kept(rows.withColumns({"_block": block, "_at": at.cast("long"), "_order_of": order}))  # small, and used twice
+    asked = rows.select("path", "_block", "_at", "_order_of").where("_block is not null and _order_of is not null")
+    read = asked.lateralJoin(T.tags(F.col("_block").outer(), F.col("_at").outer(), F.col("_order_of").outer()))
     found = [F.max(F.when(F.col("tag") == tag, F.struct("type", "count", "value", "payload"))).alias(name) for name, tag in wanted.items()]
-    return rows.join(read.groupBy("path").agg(*found, F.max("damage").alias("damage")), "path", "left")
+    return rows.drop("_block", "_at", "_order_of").join(read.groupBy("path").agg(*found, F.max("damage").alias("damage")), "path", "left")
 
 
 def _sections(rows: DataFrame, content: Column, marker: int, name: bytes) -> DataFrame:
@@ -113,7 +115,7 @@ def parallaxes(images: DataFrame) -> DataFrame:
 def parse_stereo(files: DataFrame) -> DataFrame:
     """files (path, content) -> one row each: n_images, start0, size0, start1, size1, parallax, parallax_px (null without one, or with a
     denominator of 0) and error."""
-    found = indexes(files)
+    found = kept(indexes(files))
     sound = found.where("error is null").select("path", "start1", "size1")
     second = files.join(sound, "path").select("path", F.substr("content", (F.col("start1") + 1).cast("int"), F.col("size1").cast("int")).alias("content"))
     rows = found.join(parallaxes(second).withColumnRenamed("error", "_error"), "path", "left").withColumn("error", F.coalesce("error", "_error"))
@@ -126,7 +128,7 @@ def parse_stereo(files: DataFrame) -> DataFrame:
 def debug_scan(files: DataFrame) -> DataFrame:
     """A stricter second look at files (path, content): path, directories (of the index, chained ones too) and verdict, which is null for a
     container of which no byte is left over, whose second picture is one and whose chained directories can be read."""
-    found = parse_stereo(files)
+    found = kept(parse_stereo(files))
     index = _sections(files, F.col("content"), INDEXED, b"MPF\0").withColumn("_order", _order(F.col("block")))
     asked = index.where("blocks = 1 and _order is not null").select("path", "length", "block", "_order")
     read = asked.lateralJoin(T.tags(F.col("block").outer(), F.lit(8), F.col("_order").outer(), F.lit(True)))
