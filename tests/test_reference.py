@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlux.functions import tables
 from parlux.operators import stereo as S
-from parlux.plans import containers, loading, media, reference  # noqa: F401
+from parlux.plans import coding, containers, loading, media, reference  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
