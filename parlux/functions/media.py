@@ -53,9 +53,9 @@ def folder_link(folder: Column, photo: Column) -> Column:
 
 
 def plain_slashes(url: Column) -> Column:
-    """Encoded slashes of the query as slashes; the rest of the url stays."""
-    at = F.instr(url, "?")
-    return F.when(at > 0, F.concat(F.substr(url, F.lit(1), at), F.regexp_replace(F.substr(url, at + 1), "%2[Ff]", "/"))).otherwise(url)
+    """Encoded slashes of the query as slashes; the rest of the url stays, what stands behind # as well."""
+    parts = C.let(url, lambda u: F.struct(F.regexp_extract(u, r"(?s)^([^?#]*)", 1).alias("a"), F.regexp_extract(u, r"(?s)^[^?#]*(\?[^#]*)", 1).alias("b"), F.regexp_extract(u, r"(?s)^[^#]*(#.*)$", 1).alias("c")))
+    return C.let(parts, lambda p: F.concat(p["a"], F.regexp_replace(p["b"], "%2[Ff]", "/"), p["c"]))
 
 
 def feed_url(user: Column, album_id: Column, album: Column, auth: Column) -> Column:
@@ -162,9 +162,8 @@ def reversed_bytes(data: Column) -> Column:
 
 
 def lines_of(text: Column, first: int = 73, rest: int = 78) -> Column:
-    """A text in lines of a first and a following length."""
-    more = F.greatest(F.ceil((F.length(text) - first) / rest).cast("int"), F.lit(0))
-    tail = F.transform(F.when(more > 0, F.sequence(F.lit(0), more - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.substr(text, k * rest + (first + 1), F.lit(rest)))
+    """A text in lines of a first and a following length; one pass over the text."""
+    tail = F.regexp_extract_all(F.substr(text, F.lit(first + 1)), F.lit(f"(?s).{{1,{rest}}}"), F.lit(0))
     return F.concat(F.array(F.substr(text, F.lit(1), F.lit(first))), tail)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlux.functions import media as M
+from parlux.operators.shared import kept
 
 
 def first_match(asked: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -20,7 +21,7 @@ def first_match(asked: DataFrame, rows: DataFrame, key: str, order: str) -> Data
 def unique_ids(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """df with dense numbers from 1 on in a global order, without gathering the rows: a count of each range partition (one row each) and
     a number inside it. The order should be total."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist()
+    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     # in a partition the increasing id counts its rows in its lower 33 bits
@@ -28,6 +29,15 @@ def unique_ids(df: DataFrame, order: list[Column | str], name: str) -> DataFrame
     return placed.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_at", "_before")
 
 
+def source_albums(have: DataFrame, asked: DataFrame, source: str, album: str) -> DataFrame:
+    """(source, album) of all sources that have an album or are asked for: those of have (one album a source), and for each other source,
+    however often it is asked for, the next free number by source. Null sources are never asked for."""
+    fresh = asked.where(F.col(source).isNotNull()).select(source).distinct().join(have.select(source), source, "left_anti")
+    last = have.agg(F.max(album)).first()[0] or 0
+    made = unique_ids(fresh, [source], "_n")
+    return have.select(source, F.col(album).cast("long").alias(album)).unionByName(made.select(source, (F.lit(last) + F.col("_n")).cast("long").alias(album)))
+
+
 def prefetch(photos: DataFrame, current: DataFrame, album: str, pos: str, state: str) -> DataFrame:
     """(album, pos) of the photograph to load next: from the current one (pos in current; 0 if it is beyond the end) up to PREFETCH steps
     around, the first that is PENDING, unless one that is LOADING stands before it."""

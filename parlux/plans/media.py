@@ -9,6 +9,7 @@ from parlux.functions import columns as C
 from parlux.functions import media as M
 from parlux.operators import albums as A
 from parlux.operators import blocks as B
+from parlux.operators import compose as P
 from parlux.operators import muxer as X
 from parlux.plans.reference import query
 from parlux.sources import services as S
@@ -220,3 +221,29 @@ def tree_places(t):
     placed = X.laid_out(leaves.unionByName(trunks))
     return placed.select("doc", F.get("path", F.lit(0)).alias("trunk"), F.get("path", F.lit(1)).cast("long").alias("leaf"), "size", "place")
 
+
+_PIXELS = "SELECT vec_id // 2 AS picture, CAST(vec_id % 2 AS INTEGER) AS eye, CAST(k % 8 AS INTEGER) AS x, CAST(k // 8 AS INTEGER) AS y, CAST(floor(least(greatest(CAST(embedding[k + 1] AS DOUBLE), -1), 1) * 127 + 128) AS INTEGER) AS r FROM embeddings, unnest(range(64)) AS u(k)"
+
+
+@query(f"""WITH p AS ({_PIXELS}), s AS (SELECT picture, CAST(picture % 5 - 2 AS INTEGER) AS parallax, 8 - abs(picture % 5 - 2) AS clipped FROM p GROUP BY ALL),
+f AS (SELECT *, CASE WHEN 6 * clipped // 8 > 5 THEN 5 ELSE 6 * clipped // 8 END AS w, CASE WHEN 6 * clipped // 8 > 5 THEN 5 * 6 // (6 * clipped // 8) ELSE 6 END AS h FROM s),
+c AS (SELECT picture, eye, x - CASE WHEN parallax > 0 AND eye = 0 THEN parallax WHEN parallax < 0 AND eye = 1 THEN -parallax ELSE 0 END AS sx, y AS sy, r, clipped, w, h FROM p JOIN f USING (picture)),
+a AS (SELECT picture, tx + eye * w AS x, ty AS y, r, (least((sx + 1) * w, (tx + 1) * clipped) - greatest(sx * w, tx * clipped)) * (least((sy + 1) * h, (ty + 1) * 8) - greatest(sy * h, ty * 8)) AS area, clipped * 8 AS whole
+  FROM c, unnest(range(5)) AS u(tx), unnest(range(6)) AS v(ty) WHERE sx >= 0 AND sx < clipped AND tx < w AND ty < h AND (sx + 1) * w > tx * clipped AND sx * w < (tx + 1) * clipped AND (sy + 1) * h > ty * 8 AND sy * h < (ty + 1) * 8)
+SELECT picture, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST((2 * sum(r * area) + any_value(whole)) // (2 * any_value(whole)) AS INTEGER) AS r FROM a GROUP BY picture, x, y""")
+def side_by_side(t):
+    """Two pictures of 8 x 8 pixels on one canvas, cut by their parallax and made at most 5 x 6 pixels each."""
+    pixels = t("embeddings").select(F.floor(F.col("vec_id") / 2).alias("picture"), (F.col("vec_id") % 2).cast("int").alias("eye"), F.posexplode(F.transform("embedding", lambda e: _level(e))).alias("k", "r"))
+    pixels = pixels.select("picture", "eye", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), "r")
+    pictures = t("embeddings").select(F.floor(F.col("vec_id") / 2).alias("picture")).distinct().select("picture", F.lit(8).alias("width"), F.lit(8).alias("height"), (F.col("picture") % 5 - 2).cast("int").alias("parallax"))
+    return P.side_by_side(pixels, pictures, "picture", ["r"], max_width=5, max_height=6)
+
+
+@query("""WITH h AS (SELECT 'n' || s_nationkey AS source, min(s_suppkey) AS album FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY s_nationkey),
+a AS (SELECT DISTINCT 'n' || c_nationkey AS source FROM customer WHERE c_custkey % 10 <> 0 EXCEPT SELECT source FROM h)
+SELECT source, album FROM h UNION ALL SELECT source, (SELECT max(album) FROM h) + row_number() OVER (ORDER BY source) FROM a""")
+def albums_of_sources(t):
+    """Albums of sources that are asked for, each made once where there is none."""
+    have = t("supplier").where("s_suppkey % 3 = 0").groupBy(F.concat(F.lit("n"), "s_nationkey").alias("source")).agg(F.min("s_suppkey").alias("album"))
+    asked = t("customer").select(F.when(F.col("c_custkey") % 10 != 0, F.concat(F.lit("n"), "c_nationkey")).alias("source"))
+    return A.source_albums(have, asked, "source", "album")

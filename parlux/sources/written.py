@@ -6,7 +6,8 @@
 Parts go to their file as they come, so a task's memory does not depend on the size of a file. A task writes into a folder of its own; its
 folder is put in place, by one rename, once all tasks are done, and drafts go away if any of them fails: a job that fails leaves no
 file, nor does a task that ran twice. As a stream's sink, a batch's folders bear its number, and a batch that comes again changes
-nothing. Files lie in <folder>/<job or batch>-<partition>/<doc><suffix> (docs are percent-encoded); options: suffix (.webm).
+nothing. Files lie in <folder>/<job or batch>-<partition>/<doc><suffix> (docs are percent-encoded); options: suffix (.webm), name
+(of the job; what a job of that name has put in place already stays).
 
 A doc's rows are to be in one partition, together; a doc that begins again after another is an error. Null docs and parts are errors."""
 
@@ -45,6 +46,7 @@ class Written(WriterCommitMessage):
 class _Writer:
     def __init__(self, folder: str, options: dict[str, str]):
         self.folder, self.suffix, self.job = folder, options.get("suffix", ".webm"), uuid.uuid4().hex
+        self.name = options.get("name", self.job)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = _filesystem(self.folder)
@@ -101,7 +103,7 @@ class _Writer:
 
 class FilesWriter(_Writer, DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
-        self._commit(messages, self.job)
+        self._commit(messages, self.name)
 
     def abort(self, messages: list[Written | None]) -> None:
         self._abort(messages)
@@ -132,8 +134,12 @@ class ContainerFiles(DataSource):
         return FilesStreamWriter(self.options["path"], self.options)
 
 
+def by_document(parts: DataFrame) -> DataFrame:
+    """parts (doc, path, part) as the sink takes them: a document's rows in one task, in order."""
+    return parts.select(parts["doc"].cast("string").alias("doc"), "path", "part").repartition("doc").sortWithinPartitions("doc", "path")
+
+
 def write_parts(parts: DataFrame, folder: str, suffix: str = ".webm") -> None:
     """Writes parts (doc, path, part) as files, dealt to tasks by doc and sorted."""
     parts.sparkSession.dataSource.register(ContainerFiles)
-    rows = parts.select(parts["doc"].cast("string").alias("doc"), "path", "part").repartition("doc").sortWithinPartitions("doc", "path")
-    rows.write.format("container_files").option("suffix", suffix).mode("append").save(folder)
+    by_document(parts).write.format("container_files").option("suffix", suffix).mode("append").save(folder)
