@@ -5,12 +5,12 @@ mention of an entity, in all texts (coreference); different for different entiti
 
 Entities of a format (mail addresses, phone numbers, card, account and social security numbers, IP addresses, secrets) go through a
 keyed permutation of all strings of the same format: digits stay digits, letters letters, case, separators, calling code, top-level
-domain and a card's check digit stay valid. A permutation cannot collide, and this one has no fixed point. Names (behind one or more
+domain, a card's check digit, the range of an address (private ones stay private) and the beginning of an access key stay valid. A permutation cannot collide, and this one has no fixed point. Names (behind one or more
 titles such as Mr., Frau or Prof. Dr.; any number of tokens, initials too) become made-up names of the same gender (none behind a title
 that tells none), script and case, token by token, so "Mrs. Ann Lee", later "Mrs. Lee" and elsewhere "Mrs. Ann" still agree: a token that is found both
 as a given name and as the last one has one class in all texts, the given one found most often. In the same text every other
 capitalised mention of a token of two letters or more ("Ann Lee said", "Lee's"), before or after, becomes the same; so does an ordinary
-word that is spelled like it. A person without a title anywhere in a text is not found there. Initials go through a keyed permutation
+word that is spelled like it, unless it opens a sentence and the text has it in lower case as well. A person without a title anywhere in a text is not found there. Initials go through a keyed permutation
 of their alphabet. Made-up names can collide: all distinct names are found first, surrogates that two names share (or that are names
 of the corpus themselves) are drawn anew until there are none, by distributed aggregation. What the texts need to know of that (tokens
 of several classes or later draws) is sent to every task if it is small, else joined to the texts by a shuffle.
@@ -41,11 +41,16 @@ CHOICES_BYTES = 16 << 20
 #: Characters that are permuted together: so many that half of them have fewer bits than a round's number.
 PIECE = 64
 #: Titles before names; a capitalised word that is none of them.
-TITLES = "Mr|Mrs|Ms|Miss|Mx|Dra?|Doctor|Doktor|Professor|Profesora?|Prof|Sir|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señorita|Señora?|Srta|Sra?|Господин|Госпожа|Доктор|Профессор"
+_TITLES = "Mr|Mrs|Ms|Miss|Mx|Dra?|Doctor|Doktor|Professor|Profesora?|Prof|Sir|Herr|Herrn|Frau|Fräulein|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señorita|Señora?|Srta|Sra?|Господин|Госпожа|Доктор|Профессор"
+#: The same, and in capitals.
+TITLES = f"{_TITLES}|{_TITLES.upper()}"
 UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 CAPITAL = rf"(?!(?:{TITLES})\b)[{UPPER}][^\W\d_]*(?:['’](?=[{UPPER}])[^\W\d_]+)*"
-#: A name's tokens: initials with a full stop, or capitalised words.
-NAME = rf"(?:[{UPPER}]\.|{CAPITAL})(?:(?:[ -]|(?<=\.)(?<!\w\w\.))(?:[{UPPER}]\.|{CAPITAL}))*"
+#: Lower-case words inside names. White space in names and behind titles: a few blanks, or a line's end.
+PARTICLES = "von|van|vom|zu|zum|zur|der|den|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|ten|ter|af|av|y|e|bin|ibn|al|el"
+GAP = r"(?:[ \t\xa0]{1,3}|[ \t]?\r?\n[ \t]?)"
+#: A name's tokens: initials with a full stop, or capitalised words; particles may stand before any but the first.
+NAME = rf"(?:[{UPPER}]\.|{CAPITAL})(?:(?:-|{GAP}(?:(?:{PARTICLES}){GAP}){{0,3}}|(?<=\.)(?<!\w\w\.))(?:[{UPPER}]\.|{CAPITAL}))*"
 #: Patterns of the kinds, in order of precedence.
 KINDS = {
     "email": r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])",
@@ -56,7 +61,7 @@ KINDS = {
     "ssn": r"(?a:(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     "iban": r"(?a:\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
     "card": r"(?a:(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))",
-    "name": rf"\b(?:{TITLES})\.?(?: (?:{TITLES})\b\.?)* {NAME}",
+    "name": rf"\b(?:{TITLES})\.?(?:{GAP}(?:{TITLES})\b\.?)*{GAP}(?:(?:{PARTICLES}){GAP}){{0,3}}{NAME}",
 }
 #: Titles of women, and those that tell no gender; all others of the pattern are men's.
 FEMALE = {"Mrs", "Ms", "Miss", "Dra", "Profesora", "Frau", "Fräulein", "Madame", "Mademoiselle", "Mme", "Mlle", "Señorita", "Señora", "Srta", "Sra", "Госпожа"}
@@ -67,14 +72,17 @@ ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑ
 SYLLABLES = {"latin": ("bdfghjklmnprstvz", "aeiou", "na", "ro"), "cyrillic": ("бвгджзклмнпрстфх", "аеиоу", "на", "ов")}
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rf"(?<![^\W\d_])[{UPPER}][^\W\d_]+")
+_PLAIN = re.compile(r"(?<![^\W\d_])[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+")
+#: What stands before a word that opens a sentence.
+_OPENS = re.compile(r"(?:[.!?…:]['\"”’»)]*\s{1,3}|\n\s?)['\"“‘«(]*\Z")
 _TITLE = re.compile(rf"(?:{TITLES})\b")
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 #: What Spark looks for before Python: a capital that titles begin with, letters, and a capital behind a blank. A text without holds no name.
-_TITLED = rf"[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]\p{{L}}+\.? [{UPPER}]"
+_TITLED = rf"[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]\p{{L}}+\.?(?:[ \t\u00a0]|\r?\n)[\s\u00a0]{{0,2}}(?:[{UPPER}]|(?:{PARTICLES})[\s\u00a0])"
 #: Calling codes of one and two digits; all others have three.
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: A text without any of these holds no entity.
-_HINT = re.compile(r"@|[0-9][0-9 .()-]{6}|[0-9A-Fa-f]:|token|TOKEN|api_?key|API_KEY|AKIA|\b(?:M[rsx]|Miss|D(?:r|octor|oktor)|Prof|Sir|Herr|Fr(?:au|äul)|Monsieur|Madame|Mademoi|Mme|Mlle|Señor|Sr|Господин|Госпожа|Доктор|Профессор)")
+_HINT = re.compile(r"@|[0-9][0-9 .()-]{6}|[0-9A-Fa-f]:|token|TOKEN|api_?key|API_KEY|AKIA|\b(?:M[rsxRSX]|M(?:iss|ISS)|D(?:r|R|octor|oktor|OCTOR|OKTOR)|P(?:rof|ROF)|S(?:ir|IR)|H(?:err|ERR)|F(?:rau|räul|RAU|RÄUL)|M(?:onsieur|ONSIEUR)|M(?:adame|ademoi|ADAME|ADEMOI)|M(?:me|lle|ME|LLE)|S(?:eñor|EÑOR|r|R)|Господин|Госпожа|Доктор|Профессор|ГОСПОДИН|ГОСПОЖА|ДОКТОР|ПРОФЕССОР)")
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -145,6 +153,21 @@ def _card(key: bytes, text: str) -> str:
     return _digits(text, other)
 
 
+#: What access keys begin with; ranges of addresses of special use, with their bits that are free.
+ACCESS = "AKIA"
+RANGES = [(10 << 24, 24), ((172 << 24) + (16 << 16), 20), ((192 << 24) + (168 << 16), 16), (127 << 24, 24), ((169 << 24) + (254 << 16), 16), ((100 << 24) + (64 << 16), 22), (224 << 24, 28), (240 << 24, 28), (0, 24)]
+
+
+def _range(x: int) -> tuple[int, int]:
+    """(first address, free bits) of the range of special use that an address is in; no bits outside of them."""
+    return next(((first, bits) for first, bits in RANGES if first <= x < first + (1 << bits)), (0, 0))
+
+
+def _upper_like(text: str, new: str) -> str:
+    """new in capitals if text has any."""
+    return new.upper() if text.lower() != text else new
+
+
 @lru_cache(maxsize=10_000)
 def surrogate(key: bytes, kind: str, text: str) -> str:
     """The replacement of an entity of any kind but name."""
@@ -156,12 +179,22 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         x = 0
         for part in text.split("."):
             x = x * 256 + int(part)
-        x = moved(key, "ipv4", x, 1 << 32)
+        first, bits = _range(x)
+        if bits:  # inside its range
+            x = first + moved(key, f"ipv4 {first}", x - first, 1 << bits)
+        else:  # walked until it is outside of all ranges again, which keeps it a permutation
+            x = moved(key, "ipv4", x, 1 << 32)
+            while _range(x)[1]:
+                x = moved(key, "ipv4", x, 1 << 32)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind == "card":
         return _card(key, text)
     if kind == "ipv6":
-        return _shaped(key, kind, text, True)
+        kept = re.match("(?i)(?:fe80|f[cd][0-9a-f]{2}|2[0-9a-f]{3})(?=:)", text)
+        head = kept[0] if kept else ""  # the kind of network stays
+        return head + _upper_like(text, _shaped(key, f"{kind} {head.lower()}", text[len(head) :], True))
+    if kind == "secret" and text.startswith(ACCESS):
+        return ACCESS + _shaped(key, f"{kind} {ACCESS}", text[len(ACCESS) :])
     if kind == "phone" and text[0] == "+":
         digits = re.match("[0-9]*", text[1:])[0]
         code = "+" + next((digits[:k] for k in (1, 2) if digits[:k] in CALLING), digits[:3])
@@ -178,10 +211,10 @@ def name_tokens(text: str) -> list[tuple[int, int, str]]:
     titles = 1
     while titles < len(words) and _TITLE.fullmatch(words[titles][0]):
         titles += 1
-    told = [t[0] for t in words[:titles] if t[0] not in NEUTRAL]
+    told = [name for t in words[:titles] if (name := t[0][0] + t[0][1:].lower()) not in NEUTRAL]
     gender = "s" if not told else "f" if FEMALE.intersection(told) else "m"
     script = lambda w: "cyrillic" if "Ѐ" <= w[0] <= "ӿ" else "latin"
-    named = words[titles:]
+    named = [w for w in words[titles:] if not w[0].islower()]  # particles stay
     return [(m.start(), m.end(), "initial" if len(m[0]) == 1 else f"{'s' if k == len(named) - 1 else gender}-{script(m[0])}") for k, m in enumerate(named)]
 
 
@@ -232,14 +265,23 @@ def replaced(text: str, key: bytes, choices: Choices) -> str:
         which, salt = choices.get(token.lower(), (which, 0))
         return _cased(token, made_up(key, which, token.lower(), salt))
 
-    def between(part: str) -> str:
+    # tokens that are ordinary words of the text too: where one opens a sentence, it may be that word
+    plain = known.keys() & set(_PLAIN.findall(text)) if known else set()
+
+    def between(lo: int, hi: int) -> str:
         """What is outside of finds, with bare mentions of the text's names replaced."""
-        return _WORD.sub(lambda m: named(m[0], known[m[0].lower()]) if m[0].lower() in known else m[0], part) if known else part
+
+        def mention(m: re.Match) -> str:
+            token = m[0].lower()
+            ordinary = token in plain and m[0][1:].islower() and _OPENS.search(text, max(0, lo + m.start() - 8), lo + m.start())
+            return named(m[0], known[token]) if token in known and not ordinary else m[0]
+
+        return _WORD.sub(mention, text[lo:hi]) if known else text[lo:hi]
 
     out, at = [], 0
     for m in found:
         kind, value = m.lastgroup, m[0]
-        out.append(between(text[at : m.start()]))
+        out.append(between(at, m.start()))
         if kind == "name":
             done = 0
             for lo, hi, which in name_tokens(value):
@@ -251,7 +293,7 @@ def replaced(text: str, key: bytes, choices: Choices) -> str:
         else:
             out.append(surrogate(key, kind, value))
         at = m.end()
-    return "".join([*out, between(text[at:])]) if out else text
+    return "".join([*out, between(at, len(text))]) if out else text
 
 
 def _found_names(text: str | None) -> Iterator[tuple[str, str]]:
