@@ -144,7 +144,7 @@ def header_parts(header: Column) -> tuple[Column, Column]:
 def codes(text: Column) -> Column:
     """The UTF-16 code units of a text."""
     digits = F.hex(F.encode(text, "UTF-16BE"))
-    return F.transform(F.when(F.length(digits) > 0, F.sequence(F.lit(0), (F.length(digits) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>")), lambda k: F.conv(F.substr(digits, 4 * k + 1, F.lit(4)), 16, 10).cast("int"))
+    return F.transform(F.when(F.length(digits) > 0, F.sequence(F.lit(0), (F.length(digits) / 4 - 1).cast("int"))).when(digits == "", F.array().cast("array<int>")), lambda k: F.conv(F.substr(digits, 4 * k + 1, F.lit(4)), 16, 10).cast("int"))
 
 
 def from_codes(units: Column) -> Column:
@@ -158,7 +158,7 @@ def hex_dump(data: Column) -> Column:
 
 def reversed_bytes(data: Column) -> Column:
     digits = F.hex(data)
-    return F.unhex(F.array_join(F.transform(F.when(F.length(digits) > 0, F.sequence((F.length(digits) / 2 - 1).cast("int"), F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda k: F.substr(digits, 2 * k + 1, F.lit(2))), ""))
+    return F.unhex(F.array_join(F.transform(F.when(F.length(digits) > 0, F.sequence((F.length(digits) / 2 - 1).cast("int"), F.lit(0), F.lit(-1))).when(digits == "", F.array().cast("array<int>")), lambda k: F.substr(digits, 2 * k + 1, F.lit(2))), ""))
 
 
 def lines_of(text: Column, first: int = 73, rest: int = 78) -> Column:
