@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlux.operators import blocks as B
+from parlux.operators import tokens as K
 from parlux.operators.shared import kept, small_or_shuffled
 from parlux.plans import media as P
-from parlux.plans.reference import query
+from parlux.plans.reference import ORACLE_SQL, query
 
 _COLUMNS = P._COEFFICIENTS.split("SELECT vec_id, ", 1)[1].split(" AS v\nFROM", 1)[0]
 
@@ -194,3 +195,59 @@ def mode_scores(t):
 def best_modes(t):
     """The mode of each block with the highest score, the first of equal ones."""
     return B.best_mode(B.mode_scores(_samples(t), ["picture"], 8, "v"), ["picture", "x", "y"])
+
+
+# tokens
+
+
+_LEVELS = ORACLE_SQL["block_levels"].split("SELECT vec_id, levels, CAST", 1)[0].removeprefix("WITH ")
+_DECISIONS = f"""{_LEVELS},
+g AS MATERIALIZED (SELECT vec_id // 256 AS picture, vec_id % 16 AS x, (vec_id // 16) % 16 AS y, list_transform(levels, lambda z: abs(CAST(z AS BIGINT))) AS v, coalesce(list_max(list_filter(range(16), lambda k: levels[k + 1] <> 0)), -1) AS last FROM q),
+h AS (SELECT g.*, CASE WHEN l.last >= 0 THEN 1 ELSE 0 END + CASE WHEN t.last >= 0 THEN 1 ELSE 0 END AS c FROM g LEFT JOIN g AS l ON l.picture = g.picture AND l.x = g.x - 1 AND l.y = g.y LEFT JOIN g AS t ON t.picture = g.picture AND t.x = g.x AND t.y = g.y - 1),
+n AS (SELECT picture, n, v[n + 1] AS size, CASE WHEN n > 0 THEN v[n] END AS before, CASE WHEN n > 0 THEN least(v[n], 2) ELSE c END AS context FROM h, unnest(range(last + 1)) AS u(n)),
+d AS (
+  SELECT picture, n, context, 0 AS place, 1 AS bit FROM n WHERE before IS NULL OR before > 0
+  UNION ALL SELECT picture, n, context, 1, CAST(size > 0 AS INTEGER) FROM n
+  UNION ALL SELECT picture, n, context, 2, CAST(size > 1 AS INTEGER) FROM n WHERE size > 0
+  UNION ALL SELECT picture, n, context, 3, CAST(size > 4 AS INTEGER) FROM n WHERE size > 1
+  UNION ALL SELECT picture, n, context, 4, CAST(size > 2 AS INTEGER) FROM n WHERE size BETWEEN 2 AND 4
+  UNION ALL SELECT picture, n, context, 5, CAST(size > 3 AS INTEGER) FROM n WHERE size BETWEEN 3 AND 4
+  UNION ALL SELECT picture, n, context, 6, CAST(size > 10 AS INTEGER) FROM n WHERE size > 4
+  UNION ALL SELECT picture, n, context, 7, CAST(size > 6 AS INTEGER) FROM n WHERE size BETWEEN 5 AND 10
+  UNION ALL SELECT picture, n, context, 8, CAST(size > 34 AS INTEGER) FROM n WHERE size > 10
+  UNION ALL SELECT picture, n, context, 9, CAST(size > 18 AS INTEGER) FROM n WHERE size BETWEEN 11 AND 34
+  UNION ALL SELECT picture, n, context, 10, CAST(size > 66 AS INTEGER) FROM n WHERE size > 34
+  UNION ALL SELECT picture, last + 1, CASE WHEN last >= 0 THEN least(v[last + 1], 2) ELSE c END, 0, 0 FROM h WHERE last < 15),
+counts AS (SELECT picture, ({K.BANDS})[n + 1] AS band, CAST(context AS INTEGER) AS context, CAST(place AS INTEGER) AS place, CAST(sum(bit) AS BIGINT) AS ones, count(*) AS total FROM d GROUP BY ALL)"""
+
+
+def _counts(t):
+    key = F.col("vec_id")
+    levels = P._coefficients(t).select(F.floor(key / 256).alias("picture"), (key % 16).alias("x"), (F.floor(key / 16) % 16).alias("y"), B.quantised(F.col("v"), B.matrix(F.lit(9), F.lit(12), "luma")).alias("levels"))
+    return K.token_counts(K.decisions(K.contexts(levels, ["picture"], "levels"), ["picture"], "levels", "context"), ["picture"])
+
+
+@query(f"WITH {_DECISIONS} SELECT * FROM counts")
+def block_tokens(t):
+    """How often each decision about pictures' levels is a yes, by band, context and place in the tree."""
+    return _counts(t)
+
+
+_COST = "CAST(round(-256 * log2(greatest({}, 1) / 256.0::DOUBLE)) AS BIGINT)"
+_BRANCH = "(ones * {one} + (total - ones) * {zero})"
+
+
+def _branch(p: str) -> str:
+    return _BRANCH.format(one=_COST.format(f"255 - {p}"), zero=_COST.format(p))
+
+
+@query(f"""WITH {_DECISIONS}, o AS (SELECT DISTINCT picture, band, context, place, CAST(40 + 5 * band + 30 * context + 7 * place AS INTEGER) AS old, CAST(255 - 3 * band - place AS INTEGER) AS update FROM counts),
+f AS (SELECT *, CASE WHEN ones > 0 THEN CAST(255 - ones * 255 // total AS INTEGER) ELSE 255 END AS fitted FROM counts JOIN o USING (picture, band, context, place)),
+r AS (SELECT *, {_branch('old')} + {_COST.format('update')} - {_branch('fitted')} - {_COST.format('255 - update')} - 2048 > 0 AS renewed FROM f)
+SELECT picture, band, context, place, ones, total, fitted, renewed, CASE WHEN renewed THEN fitted ELSE old END AS probability FROM r""")
+def token_probabilities(t):
+    """Which decisions get a new probability, as it saves more than it costs to write."""
+    counts = kept(_counts(t))
+    keys = ["picture", "band", "context", "place"]
+    old, update = 40 + 5 * F.col("band") + 30 * F.col("context") + 7 * F.col("place"), 255 - 3 * F.col("band") - F.col("place")
+    return K.chosen_probabilities(counts, counts.select(*keys, old.cast("int").alias("old"), update.cast("int").alias("update")), keys)

@@ -7,8 +7,9 @@ import struct
 
 from pyspark.sql import functions as F
 
+from parlux.operators.shared import shared_folder
 from parlux.plans.reference import query
-from parlux.sources import files, services
+from parlux.sources import files, recorded, services
 from parlux.streaming import flows
 
 
@@ -118,3 +119,24 @@ def pictures_and_retries(t):
     pick = lambda *texts: F.get(F.array(*(F.lit(x) for x in texts)), (F.col("event_id") % 4).cast("int"))
     ended = flows.after_retry(pick("RETRY", "RETRY", "OK", "NOT_FOUND"), pick("OK", "RETRY", None, None))
     return t("events").where("value is not null").select("event_id", flows.alternating(F.floor(F.col("value") * 10)).alias("picture"), ended.alias("ended"))
+
+
+@query("""WITH f AS (SELECT *, 'n' || s_nationkey AS folder, s_suppkey % 4 AS m, s_nationkey % 5 = 3 AND s_suppkey % 3 = 0 AS missing FROM supplier),
+c AS (SELECT folder, bool_and(NOT missing) AS complete FROM f GROUP BY folder)
+SELECT n_name AS name, row_number() OVER (PARTITION BY folder ORDER BY s_name, s_suppkey) AS place, 's' || s_suppkey AS photo_id, s_name AS title, CASE m WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/mpo' ELSE 'image/png' END AS mime
+FROM f JOIN c USING (folder) JOIN nation ON n_nationkey = s_nationkey WHERE complete AND m < 3""")
+def recorded_folders(t):
+    """Photographs of folders (nations with their suppliers) from recorded answers: those of supported types, of folders all of whose files
+    are recorded."""
+    spark, folder, key = t("nation").sparkSession, shared_folder(t("nation").sparkSession, "recording"), F.col("s_suppkey")
+    text = lambda **fields: F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+    mime = F.get(F.array(*(F.lit(m) for m in ("image/jpeg", "image/mpo", "image/png", "text/plain"))), (key % 4).cast("int"))
+    name = lambda kind, c: F.concat(F.lit(kind), c)
+    there = t("supplier").where(~((F.col("s_nationkey") % 5 == 3) & (key % 3 == 0)))
+    files = there.select(F.lit("files").alias("service"), name("s", key).alias("id"), text(id=name("s", key), title=F.col("s_name"), mimeType=mime).alias("answer"))
+    own = t("nation").select(F.lit("files"), name("n", F.col("n_nationkey")), text(id=name("n", F.col("n_nationkey")), title=F.col("n_name"), mimeType=F.lit("folder")))
+    children = F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: F.struct(F.concat(F.lit("s"), k).alias("id")))
+    lists = t("supplier").groupBy("s_nationkey").agg(children.alias("items")).select(F.lit("folders"), name("n", F.col("s_nationkey")), text(kind=F.lit(recorded.LISTING), items=F.col("items")))
+    recorded.record(files.union(own).union(lists), folder).count()
+    albums, photos = recorded.load_folders(spark, folder, t("nation").select(name("n", F.col("n_nationkey")).alias("folder_id")))
+    return photos.join(albums, "folder_id").select("name", F.col("place").cast("long").alias("place"), "photo_id", "title", "mime")

@@ -12,9 +12,9 @@ group, whose rows its task reads. Answers are read by the tasks, in the order of
 
 Every asked id has rows. kind is what came of it: OK, NOT_FOUND (nothing recorded, or the service says so), DENIED (a second try failed
 as well), NETWORK (the recording can't be read) or UNEXPECTED (no JSON, or fields that are absent or of another type). complete says
-whether all ids of the request are OK. Filters on request, id, kind, complete and, of files, mime are pushed into the reader: requests
-that aren't wanted are not read, other rows that aren't wanted are not sent (all ids of a request are read, as it is judged as a
-whole). An unknown service is an error; a request without ids has no rows."""
+whether all ids of the request are OK. With the option push, filters on request, id, kind, complete and, of files, mime go into
+the reader: requests that aren't wanted are not read, other rows that aren't wanted are not sent (all ids of a request are read, as it
+is judged as a whole). An unknown service is an error; a request without ids has no rows."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from parlux.functions import columns as C
-from parlux.operators.shared import shared_folder
+from parlux.operators.shared import kept, shared_folder
 from parlux.sources import services as S
 
 _HEAD = "request string, pos int, id string, kind string, complete boolean"
@@ -91,15 +91,6 @@ class AnswersReader(DataSourceReader):
         self.requests, self.requests_path = options.get("requests"), options.get("requests_path")
         self.wanted: dict[str, set] = {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        fields = {f.split()[0] for f in SCHEMAS[self.service].split(", ")} & PUSHED
-        for f in filters:
-            if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in fields:
-                values = set(f.value) if isinstance(f, In) else {f.value}
-                self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
-            else:
-                yield f
-
     def partitions(self) -> list[Asked]:
         if self.requests is not None:
             named = json.loads(self.requests)
@@ -173,6 +164,19 @@ class AnswersReader(DataSourceReader):
             yield _batch(rows, schema)
 
 
+class PushingReader(AnswersReader):
+    """The reader that takes filters. Spark keeps one reader for each load(), so a frame of it may stand but once in a query."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        fields = {f.split()[0] for f in SCHEMAS[self.service].split(", ")} & PUSHED
+        for f in filters:
+            if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in fields:
+                values = set(f.value) if isinstance(f, In) else {f.value}
+                self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
+            else:
+                yield f
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -186,15 +190,16 @@ class RecordedAnswers(DataSource):
         return SCHEMAS[AnswersReader(self.options).service]
 
     def reader(self, schema) -> AnswersReader:
-        return AnswersReader(self.options)
+        return (PushingReader if self.options.get("push", "false").lower() == "true" else AnswersReader)(self.options)
 
 
-def answers(spark: SparkSession, folder: str, service: str, requests: dict[str, list[str]] | DataFrame) -> DataFrame:
+def answers(spark: SparkSession, folder: str, service: str, requests: dict[str, list[str]] | DataFrame, push: bool = False) -> DataFrame:
     """The recorded answers to requests: a few of them as a dictionary, or a table (request, ids), which is written to the shared folder.
-    Lets Spark push filters into Python's data sources from then on."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    With push, Spark pushes filters into Python's data sources from then on, and the frame may stand but once in a query."""
+    if push:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordedAnswers)
-    reader = spark.read.format("recorded_answers").option("service", service)
+    reader = spark.read.format("recorded_answers").option("service", service).option("push", str(push).lower())
     if isinstance(requests, dict):
         return reader.option("requests", json.dumps(requests)).load(folder)
     path = shared_folder(spark, "requests")
@@ -206,13 +211,13 @@ def load_folders(spark: SparkSession, folder: str, ids: DataFrame) -> tuple[Data
     """Albums and photographs of recorded folders, as services.folder_albums gives them; ids: folder_id.
 
     Listings come first; a folder's children (CHILDREN at most) and the folder itself are then one request for files' metadata, so a
-    folder is complete if its request is. Supported types are asked of the reader. Folders whose listing is not OK give no album."""
+    folder is complete if its request is. Folders whose listing is not OK give no album."""
     asked = ids.select(F.col("folder_id").alias("request"), F.array("folder_id").alias("ids"))
     listed = answers(spark, folder, "folders", asked).where("kind = 'OK'")
     children = F.array_sort(F.collect_list(F.when(F.col("child_id").isNotNull(), F.struct("child_pos", "child_id"))))["child_id"]
     # at most CHILDREN of them, as the reader ends a listing there
     batches = listed.groupBy("request").agg(F.concat(children, F.array(F.first("id"))).alias("ids"))
-    files = answers(spark, folder, "files", batches)
+    files = kept(answers(spark, folder, "files", batches))  # used twice
     own = F.max(F.when(F.col("id") == F.col("request"), F.col("title")))
     albums = files.groupBy(F.col("request").alias("folder_id")).agg(F.coalesce(own, F.lit(S.UNKNOWN)).alias("name"), F.bool_and("complete").alias("complete"))
     inside = files.where(F.col("complete") & C.supported_mime(F.col("mime"))).where("id <> request")

@@ -4,6 +4,7 @@ import json
 from urllib.parse import quote
 
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from parlux.sources import recorded as R
 from parlux.sources import services as S
@@ -41,15 +42,25 @@ def test_kinds_and_barrier(spark, tmp_path):
 
 def test_pushed_filters(spark, tmp_path):
     folder = recording(tmp_path, files={"a": meta("a"), "b": meta("b", "image/mpo"), "t": meta("t", "text/plain")})
-    df = R.answers(spark, folder, "files", {"x": ["a", "b", "t", "gone"], "y": ["a"], "z": ["t"]})
+    df = R.answers(spark, folder, "files", {"x": ["a", "b", "t", "gone"], "y": ["a"], "z": ["t"]}, push=True)
     some = df.where(F.col("mime").isin("image/jpeg", "image/mpo") & (F.col("kind") == "OK") & (F.col("request") == "x"))
+    reader = R.PushingReader({"service": "files", "path": folder, "requests": json.dumps({"x": ["a", "t"], "y": ["b"]})})
+    asked = [EqualTo(("request",), "x"), In(("mime",), ("image/jpeg", "image/mpo")), In(("mime",), ("image/jpeg",)), EqualTo(("title",), "Ta")]
+    assert list(reader.pushFilters(asked)) == asked[3:] and reader.wanted == {"request": {"x"}, "mime": {"image/jpeg"}}
+    (part,) = reader.partitions()
+    assert [b.column("id").to_pylist() for b in reader.read(part)] == [["a"]]  # what isn't wanted does not leave the reader
+    # one scan with filters and one without, joined
     plan = some._jdf.queryExecution().executedPlan().toString()
     left = [x for x in plan.splitlines() if "Filter" in x and "BatchScan" not in x]
-    assert "BatchScan" in plan and not any(x in line for line in left for x in ("image/", "OK", "IN"))  # only tests for null are left to Spark
+    assert not any(x in line for line in left for x in ("image/", "OK", "IN"))  # only tests for null are left to Spark
+    plain = R.answers(spark, folder, "files", {"x": ["a", "b", "t", "gone"], "y": ["a"], "z": ["t"]})
+    both = plain.groupBy("request").agg(F.count("*").alias("n")).join(plain.where("mime = 'image/jpeg'").groupBy("request").agg(F.count("*").alias("m")), "request")
+    assert {tuple(r) for r in both.collect()} == {("x", 4, 1), ("y", 1, 1)}
     assert [(r.id, r.complete) for r in some.orderBy("pos").collect()] == [("a", False), ("b", False)]
     assert some.rdd.getNumPartitions() == 1  # other requests are not planned
-    assert df.where("title like 'T%' and pos > 0").count() == 2 and df.where("mime is null").count() == 1
-    assert df.where("mime in ('image/jpeg', 'image/mpo') and mime in ('image/mpo', 'image/png')").count() == 1
+    again = lambda: R.answers(spark, folder, "files", {"x": ["a", "b", "t", "gone"], "y": ["a"], "z": ["t"]}, push=True)
+    assert again().where("title like 'T%' and pos > 0").count() == 2 and again().where("mime is null").count() == 1
+    assert again().where("mime in ('image/jpeg', 'image/mpo') and mime in ('image/mpo', 'image/png')").count() == 1
 
 
 def test_folders_as_from_tables(spark, tmp_path):
