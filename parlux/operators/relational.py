@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -45,6 +47,26 @@ def neighbours(df: DataFrame, by: list[str], order: list[Column | str], value: s
     return df.withColumns({"prev": F.coalesce(F.lag(value).over(w), F.col(value)), "next": F.coalesce(F.lead(value).over(w), F.col(value))})
 
 
+def _changes(keys: list[pa.Array]) -> np.ndarray:
+    """Whether each row's keys differ from those of the row before; nulls are equal."""
+    n = len(keys[0]) if keys else 0
+    out = np.zeros(n, bool)
+    for k in keys:
+        a, b = k.slice(1), k.slice(0, n - 1)
+        apart = pc.or_(pc.not_equal(a, b).fill_null(False), pc.xor(a.is_null(), b.is_null()))
+        out[1:] |= apart.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _reached(run: np.ndarray, at: int, goal: int) -> int:
+    """The first place from at on where a running sum reaches a goal; its length if there is none. Sums that grow are searched by halving."""
+    rest = run[at:]
+    if (np.diff(rest[:64]) >= 0).all() and (len(rest) <= 64 or (np.diff(rest) >= 0).all()):
+        return at + int(np.searchsorted(rest, goal))
+    hits = np.flatnonzero(rest >= goal)
+    return at + int(hits[0]) if len(hits) else len(run)
+
+
 def clusters(df: DataFrame, by: list[str], order: list[str], value: Column, limit: int) -> DataFrame:
     """Rows numbered by cluster (from 0), with time, what the cluster's rows before sum to: a cluster is closed once its values sum to limit.
 
@@ -55,17 +77,32 @@ def clusters(df: DataFrame, by: list[str], order: list[str], value: Column, limi
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, cluster, total = None, 0, 0
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True))
-            numbers, times = [], []
-            for key, v in zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if key != group:
-                    group, cluster, total = key, 0, 0
-                numbers.append(cluster)
-                times.append(total)
-                total += v or 0
-                if total >= limit:
-                    cluster, total = cluster + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int32()), pa.array(times, pa.int64())], [*batch.schema.names[:-1], "cluster", "time"])
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(k) for k in range(len(by))]
+            values = batch.column(batch.num_columns - 1).fill_null(0).to_numpy()
+            begins = _changes(keys)
+            begins[0] = tuple(k[0].as_py() for k in keys) != group
+            group = tuple(k[n - 1].as_py() for k in keys)
+            numbers, times = np.empty(n, np.int32), np.empty(n, np.int64)
+            starts = np.union1d([0], np.flatnonzero(begins))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+                if begins[lo]:
+                    cluster, total = 0, 0
+                run = np.cumsum(values[lo:hi])
+                at, base = 0, -total
+                while at < len(run):  # a step for each cluster
+                    cut = _reached(run, at, base + limit)
+                    end = min(cut + 1, len(run))
+                    numbers[lo + at : lo + end] = cluster
+                    times[lo + at : lo + end] = run[at:end] - values[lo + at : lo + end] - base
+                    if cut == len(run):
+                        break
+                    cluster, base = cluster + 1, int(run[cut])
+                    at = end
+                total = int(run[-1]) - base
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers), pa.array(times)], [*batch.schema.names[:-1], "cluster", "time"])
 
     schema = StructType([*rows.schema.fields[:-1], StructField("cluster", IntegerType()), StructField("time", LongType())])
     return rows.mapInArrow(numbered, schema)

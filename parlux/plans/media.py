@@ -73,16 +73,16 @@ c AS (SELECT *, ceil(bw / 2) AS half, greatest(50, bh - head) AS top, least(ceil
 d AS (SELECT *, CASE WHEN ceil(w0 * h / w) > top THEN ceil(top * w / h) ELSE w0 END AS cw, least(ceil(w0 * h / w), top) AS ch FROM c),
 e AS (SELECT *, w * (1 - abs(par / w)) AS clipped FROM d), f AS (SELECT *, ceil(bw * h / clipped) AS wh0 FROM e),
 g AS (SELECT *, CASE WHEN wh0 > bh THEN ceil(bh * clipped / h) ELSE bw END AS ww, least(wh0, bh) AS wh FROM f)
-SELECT p_partkey, CAST(half - cw - 2 AS BIGINT) AS x, CAST(greatest(head, floor((bh - ch) / 2)) AS BIGINT) AS y, CAST(cw AS BIGINT) AS width, CAST(ch AS BIGINT) AS height,
+SELECT p_partkey, CAST(half - cw - 2 AS BIGINT) AS x, CAST(half + 2 AS BIGINT) AS right_x, CAST(greatest(head, floor((bh - ch) / 2)) AS BIGINT) AS y, CAST(cw AS BIGINT) AS width, CAST(ch AS BIGINT) AS height,
 CAST(floor((bw - ww) / 2) AS BIGINT) AS wobble_x, CAST(ww AS BIGINT) AS wobble_width, CAST(wh AS BIGINT) AS wobble_height, CAST(CASE WHEN par >= 0 THEN floor(-(wh * w / h * (par / w))) ELSE 0 END AS BIGINT) AS shift0,
 CASE WHEN par > 0 THEN CAST(greatest(14, ceil(greatest(0.0, least(1.0, w / par)) * 194)) AS INTEGER) END AS bar, greatest(80.0, least(bh / 4, 120.0)) AS strip, greatest(300, p_partkey - 300) AS delay FROM g""")
 def layouts(t):
     """Where a viewer puts pictures, bars and strips."""
     key = F.col("p_partkey")
     bw, bh, w, h, par = (c.cast("double") for c in (300 + key % 900, 200 + F.col("p_size") * 10, 40 + key % 77, 30 + key % 53, key % 21 - 10))
-    cross, wobble = M.cross_layout(bw, bh, F.lit(100.0), w, h, F.lit(False)), M.wobble_layout(bw, bh, w, h, par)
-    rows = t("part").select("p_partkey", cross.alias("c"), wobble.alias("o"), M.progress_width(w, par, F.lit(0)).alias("bar"), M.strip_height(bh).alias("strip"), M.refresh_delay(key).alias("delay"))
-    return rows.select("p_partkey", "c.*", F.col("o.x").cast("long").alias("wobble_x"), F.col("o.width").alias("wobble_width"), F.col("o.height").alias("wobble_height"), F.col("o.shift0").cast("long").alias("shift0"), "bar", "strip", "delay")
+    cross, right, wobble = M.cross_layout(bw, bh, F.lit(100.0), w, h, F.lit(False)), M.cross_layout(bw, bh, F.lit(100.0), w, h, F.lit(True)), M.wobble_layout(bw, bh, w, h, par)
+    rows = t("part").select("p_partkey", cross.alias("c"), right["x"].alias("right_x"), wobble.alias("o"), M.progress_width(w, par, F.lit(0)).alias("bar"), M.strip_height(bh).alias("strip"), M.refresh_delay(key).alias("delay"))
+    return rows.select("p_partkey", "c.*", "right_x", F.col("o.x").cast("long").alias("wobble_x"), F.col("o.width").alias("wobble_width"), F.col("o.height").alias("wobble_height"), F.col("o.shift0").cast("long").alias("shift0"), "bar", "strip", "delay")
 
 
 @query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) ON o_custkey = c_custkey AND r = 1""")

@@ -83,14 +83,14 @@ def frame_times(t):
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, {_MS} AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-w(user_id, event_id, k, s, cluster, c_next) AS (
-  SELECT user_id, event_id, k, CASE WHEN ms >= {CLUSTER_MS} THEN 0 ELSE ms END, 0, CASE WHEN ms >= {CLUSTER_MS} THEN 1 ELSE 0 END FROM e WHERE k = 1
-  UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN w.s + e.ms >= {CLUSTER_MS} THEN 0 ELSE w.s + e.ms END, w.c_next, w.c_next + CASE WHEN w.s + e.ms >= {CLUSTER_MS} THEN 1 ELSE 0 END
+w(user_id, event_id, k, s, cluster, c_next, before) AS (
+  SELECT user_id, event_id, k, CASE WHEN ms >= {CLUSTER_MS} THEN 0 ELSE ms END, 0, CASE WHEN ms >= {CLUSTER_MS} THEN 1 ELSE 0 END, CAST(0 AS BIGINT) FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN w.s + e.ms >= {CLUSTER_MS} THEN 0 ELSE w.s + e.ms END, w.c_next, w.c_next + CASE WHEN w.s + e.ms >= {CLUSTER_MS} THEN 1 ELSE 0 END, CAST(w.s AS BIGINT)
   FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
-SELECT user_id, event_id, cluster FROM w""")
+SELECT user_id, event_id, cluster, before AS time FROM w""")
 def frame_clusters(t):
-    """Frames of a video in clusters, each closed once it has lasted long enough."""
-    return R.clusters(t("events"), ["user_id"], ["ts", "event_id"], F.floor("value").cast("long") % 100, CLUSTER_MS).drop("ts", "time")
+    """Frames of a video in clusters, each closed once it has lasted long enough, with their time in the cluster."""
+    return R.clusters(t("events"), ["user_id"], ["ts", "event_id"], F.floor("value").cast("long") % 100, CLUSTER_MS).drop("ts")
 
 
 @query(f"""SELECT user_id, count(*) AS frames, CAST(sum({_MS}) AS BIGINT) AS duration, bool_and({_MS} > 0) AS sound FROM events GROUP BY user_id""")
@@ -133,12 +133,13 @@ def json_property(t):
 
 
 @query("""SELECT c_custkey, regexp_replace(coalesce(CAST(c_custkey AS VARCHAR), '') || '/' || CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) ELSE '' END || '/' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END || '/', '/+$', '') AS token,
-c_custkey % 2 = 0 OR c_custkey % 3 = 0 AS valid FROM customer""")
+c_custkey % 2 = 0 OR c_custkey % 3 = 0 AS valid, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS owner, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS album_id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS album FROM customer""")
 def album_tokens(t):
     """Album links from their parts and back; without album and id there is no link."""
     key, null = F.col("c_custkey"), F.lit(None).cast("string")
     token = C.album_token(key.cast("string"), F.when(key % 2 == 0, F.col("c_nationkey").cast("string")), F.when(key % 3 == 0, F.col("c_mktsegment")), null)
-    return t("customer").select("c_custkey", token.alias("token"), C.parse_album_token(token).isNotNull().alias("valid"))
+    rows = t("customer").select("c_custkey", token.alias("token"), C.parse_album_token(token).alias("t"))
+    return rows.select("c_custkey", "token", F.col("t").isNotNull().alias("valid"), F.col("t.user").alias("owner"), "t.album_id", "t.album")
 
 
 @query("""SELECT p_partkey, p_partkey % 2 = 0 OR (p_partkey % 3 = 0 AND (ends_with(lower(name), '.mpo') OR contains(lower(name), '.mpo.'))) AS stereo, p_partkey % 4 = 0 OR p_partkey % 2 = 1 AND p_partkey % 3 = 0 AS supported

@@ -10,6 +10,7 @@ from parlux.functions import media as M
 from parlux.operators import albums as A
 from parlux.operators import blocks as B
 from parlux.operators import compose as P
+from parlux.operators import relational as R
 from parlux.streaming import videos
 
 
@@ -74,6 +75,26 @@ def test_small_operators(spark):
     assert {tuple(r) for r in A.source_albums(have.where("false"), asked, "source", "album").collect()} == {("x", 1), ("y", 2), ("z", 3)}
 
 
+def test_clusters_over_batches(spark):
+    """Groups with null keys, values below 0 and null, over Arrow batches of few rows, against a walk through the rows."""
+    draw = random.Random(2)
+    rows = [(draw.choice([None, "a", "b"]), draw.choice([None, 1]), k, draw.choice([None, 0, 3, 7, 11, 40] if k % 2 else [5, -4])) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, h int, k int, v long").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.k: (r.cluster, r.time) for r in R.clusters(df, ["g", "h"], ["k"], F.col("v"), 30).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    state, want = {}, {}
+    for g, h, k, v in rows:
+        cluster, total = state.get((g, h), (0, 0))
+        want[k] = cluster, total
+        total += v or 0
+        state[g, h] = (cluster + 1, 0) if total >= 30 else (cluster, total)
+    assert got == want and max(c for c, _ in want.values()) > 5
+
+
 def test_transforms_and_back(spark):
     draw = random.Random(1)
     rows = [([draw.randrange(-255, 256) for _ in range(16)],) for _ in range(60)] + [([0] * 16,), ([255] * 16,), ([-255] * 16,)]
