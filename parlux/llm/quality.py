@@ -102,3 +102,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     rest = [m for m in _MEASURES if m not in columns]
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*columns, *rest)
+
+
+_W = r"'[^\x20\x09-\x0D]+'"
+OP5_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
+g AS (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM w, (VALUES {", ".join(f"({n})" for n in sorted({WINDOW, *MAX_REPEATED}))}) AS l(n), unnest(range(1, len(w) - n + 2)) AS u(i)),
+r AS (SELECT rid, n, i, row_number() OVER (PARTITION BY rid, n, gram ORDER BY i) AS k, count(*) OVER (PARTITION BY rid, n, gram) AS c FROM g),
+again AS (SELECT rid, n, CAST(sum(length(w[j])) AS BIGINT) AS chars FROM (SELECT DISTINCT rid, n, j FROM r, unnest(range(i, i + n)) AS u(j) WHERE k > 1) AS q JOIN w USING (rid) GROUP BY rid, n),
+inside AS (SELECT rid, count(*) AS words FROM (SELECT DISTINCT rid, j FROM r, unnest(range(i, i + n)) AS u(j) WHERE n = {WINDOW} AND c > 1) AS q GROUP BY rid),
+l AS (SELECT rid, list_sum(list_transform(regexp_extract_all(line, {_W}), lambda x: length(x))) AS chars, row_number() OVER (PARTITION BY rid, line) AS k FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM w) AS q WHERE regexp_matches(line, {_W})),
+lines AS (SELECT rid, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM l WHERE k > 1 GROUP BY rid),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(lines.chars, 0) AS dup_line_chars, coalesce(inside.words, 0) AS n_repeat_words, {", ".join(f"coalesce((SELECT chars FROM again WHERE again.rid = w.rid AND again.n = {n}), 0) AS dup_chars_{n}" for n in MAX_REPEATED)}
+  FROM w LEFT JOIN lines USING (rid) LEFT JOIN inside USING (rid)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= {MAX_LINE_CHARS}::DOUBLE * word_chars AND {" AND ".join(f"dup_chars_{n} <= {most}::DOUBLE * word_chars" for n, most in MAX_REPEATED.items())} AS kept FROM b
+"""

@@ -74,6 +74,11 @@ def test_quality(docs, rows, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_in_sql(spark, docs, sf):
+    against_sql(quality.op5_quality(spark, sf), quality.OP5_SQL, sf)
+    against_sql(quality.quality(docs), quality.OP5_SQL, sf, documents=docs.toArrow())
+
+
 @pytest.mark.parametrize(("length", "times", "words"), [(10, 3, 160), (7, 3, 105), (5, 5, 125)])
 def test_quality_by_each_length(spark, length, times, words):
     """A passage of so many words stands so many times in the text, so that just the rule of that n-gram length rejects it."""
