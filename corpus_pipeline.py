@@ -49,10 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each written to the shared folder as Parquet and read again by the next one."""
+    """All stages over the documents of a folder, each written to the shared folder as Parquet and read again by the next one. What a stage has
+    read goes once the stage is written; the last one's input stays, as the result reads it."""
     out = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
