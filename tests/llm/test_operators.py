@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from parlux.llm import chat, mixing, neardup, packing, pii, quality, records, token_counts, topk, url_filter
+from parlux.llm import _durable, chat, codes, mixing, neardup, packing, pii, quality, records, token_counts, topk, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "ab cd " * 3000 + "tail"
@@ -265,3 +265,11 @@ def test_near_duplicates_in_split_buckets(spark, monkeypatch):
     _, least, _ = components(rows, 5)
     assert len(set(least)) == 25
     same([(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()], [(r.doc_id, c) for r, c in zip(rows, least, strict=True)])
+
+
+def test_joins_by_shuffle(spark, sf, monkeypatch):
+    """Where tables are too large to be broadcast, the same rows come of joins by shuffle."""
+    monkeypatch.setattr(_durable, "BROADCAST_BYTES", -1)
+    against_sql(chat.op3_chat(spark, sf), chat.OP3_SQL, sf)
+    against_sql(url_filter.op8_url_filter(spark, sf), url_filter.OP8_SQL, sf)
+    against_sql(codes.op13_codes(spark, sf), codes.OP13_SQL, sf)
