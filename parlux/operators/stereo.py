@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parlux.functions import columns as C
 from parlux.functions import tables as T
-from parlux.operators.shared import kept
+from parlux.operators.shared import kept, small_or_shuffled
 
 #: Byte orders, directory tags, kinds of fields and lengths of the file format.
 BIG, LITTLE = b"MM\0*", b"II*\0"
@@ -117,7 +117,7 @@ def parse_stereo(files: DataFrame) -> DataFrame:
     denominator of 0) and error."""
     found = kept(indexes(files))
     sound = found.where("error is null").select("path", "start1", "size1")
-    second = files.join(sound, "path").select("path", F.substr("content", (F.col("start1") + 1).cast("int"), F.col("size1").cast("int")).alias("content"))
+    second = files.join(small_or_shuffled(sound), "path").select("path", F.substr("content", (F.col("start1") + 1).cast("int"), F.col("size1").cast("int")).alias("content"))
     rows = found.join(parallaxes(second).withColumnRenamed("error", "_error"), "path", "left").withColumn("error", F.coalesce("error", "_error"))
     fine = F.col("error").isNull()
     value = F.when(fine & (F.col("den") != 0), F.col("num").cast("double") / F.col("den"))

@@ -48,13 +48,14 @@ def classified(files: DataFrame) -> DataFrame:
     asked = rows.where(F.coalesce(C.maybe_stereo(F.col("mime"), F.col("name")), F.lit(False))).select("path", "content")
     # contents of candidates alone go through Python, what comes back are places
     found = small_or_shuffled(kept(stereo.parse_stereo(asked)))
-    seen = rows.join(found.select("path", F.struct("start0", "size0", "start1", "size1", "parallax", "error").alias("_found")), "path", "left")
+    # with its length beside it, content need not travel where nobody asks for it
+    seen = rows.withColumn("_length", F.coalesce(F.octet_length("content"), F.lit(0))).join(found.select("path", F.struct("start0", "size0", "start1", "size1", "parallax", "error").alias("_found")), "path", "left")
     sound = F.col("_found").isNotNull() & F.col("_found.error").isNull()
     declared = F.coalesce("mime", F.lit(""))
     failed = F.col("_found.error").isNotNull() & declared.isin("", STEREO)
     image = lambda start, size: F.struct(start.cast("long").alias("start"), size.cast("long").alias("size"))
     two = F.array(*(image(F.col(f"_found.start{k}"), F.col(f"_found.size{k}")) for k in range(2)))
-    one = F.array(image(F.lit(0), F.coalesce(F.octet_length("content"), F.lit(0))))
+    one = F.array(image(F.lit(0), F.col("_length")))
     return seen.select("path", "name", F.when(sound, STEREO).otherwise(F.col("mime")).alias("mime"), "content", F.when(sound, two).when(~failed, one).alias("images"), "_found.parallax", F.when(failed, F.col("_found.error")).alias("error"))
 
 
