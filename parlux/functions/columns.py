@@ -82,11 +82,10 @@ def parse_album_token(token: Column) -> Column:
 def unsigned(data: Column, at: Column | int, size: int, little: Column | bool = False) -> Column:
     """The unsigned number of size bytes at a place (from 0), or null where the bytes end before."""
     at = at if isinstance(at, Column) else F.lit(at)
-    byte = lambda k: F.conv(F.hex(F.substr(data, at + (k + 1), F.lit(1))), 16, 10).cast("long")
-    big = sum((byte(k) * (1 << 8 * (size - 1 - k)) for k in range(size)), F.lit(0))
-    low = sum((byte(k) * (1 << 8 * k) for k in range(size)), F.lit(0))
-    little = little if isinstance(little, Column) else F.lit(little)
-    return F.when((at >= 0) & (at + size <= F.octet_length(data)), F.when(little, low).otherwise(big))
+    digits = F.hex(F.substr(data, at + 1, F.lit(size)))
+    low = F.concat(*(F.hex(F.substr(data, at + (k + 1), F.lit(1))) for k in reversed(range(size))))
+    value = F.when(little, low).otherwise(digits) if isinstance(little, Column) else low if little else digits
+    return F.when((at >= 0) & (at + size <= F.octet_length(data)), F.conv(value, 16, 10).cast("long"))
 
 
 def signed32(data: Column, at: Column | int, little: Column | bool = False) -> Column:

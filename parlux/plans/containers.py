@@ -33,12 +33,17 @@ def _tag(little: Column | bool, tag: Column | int, kind: Column | int, count: Co
     return F.concat(_int(tag, 2, little), _int(kind, 2, little), _int(count, 4, little), payload)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over as many tasks as a shuffle has: few bytes of a table, which Spark reads in few tasks, are much work here."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _files(t) -> DataFrame:
     """Containers of parts with a name and a type for pictures. k (0 to 15): from 8 on a container is damaged in a way each; 2, 3, 6 and 7
     have no maker's note; 7 has bytes left over."""
     size, k, little = F.col("p_size"), F.col("k"), F.col("little")
     number = lambda v, n=4: _int(v, n, little)
-    rows = t("part").select(F.col("p_partkey").alias("path"), (F.col("p_partkey") % 16).alias("k"), (size % 2 == 0).alias("little"), F.encode("p_name", "UTF-8").alias("first"), F.encode("p_type", "UTF-8").alias("second"), (size - 25).alias("num"), (size % 5 - 1).alias("den"))
+    rows = _spread(t("part")).select(F.col("p_partkey").alias("path"), (F.col("p_partkey") % 16).alias("k"), (size % 2 == 0).alias("little"), F.encode("p_name", "UTF-8").alias("first"), F.encode("p_type", "UTF-8").alias("second"), (size - 25).alias("num"), (size % 5 - 1).alias("den"))
     start = F.concat(F.when(little, _bytes(b"II*\0")).otherwise(_bytes(b"MM\0*")), number(8))
     note = F.concat(_bytes(b"FUJIFILM"), _int(12, 4, True), _int(1, 2, True), _tag(True, 45585, 10, 1, _int(26, 4, True)), _int(F.col("num"), 4, True), _int(F.col("den"), 4, True))
     tagged = F.concat(_bytes(b"Exif\0\0"), start, number(1, 2), _tag(little, 34665, 4, 1, number(22)), number(1, 2), _tag(little, 37500, 7, 34, number(36)), note)
@@ -85,7 +90,7 @@ def _pictures(t) -> DataFrame:
     scans = F.when(key % 3 == 0, scan).when(key % 3 == 1, F.concat(scan, scan)).otherwise(F.concat(scan, _segment(0xC4, name), scan, scan))
     end = F.when(key % 4 == 3, _bytes(b"")).otherwise(_bytes(b"\xff\xd9"))
     whole = F.concat(_bytes(b"\xff\xd8"), _segment(0xE0, name), _segment(0xDB, F.encode(F.repeat("s_name", (key % 7 + 1).cast("int")), "UTF-8")), _segment(0xC0, name), _segment(0xDD, _bytes(b"ab")), scans, end)
-    return t("supplier").select(key.alias("path"), whole.alias("content"))
+    return _spread(t("supplier")).select(key.alias("path"), whole.alias("content"))
 
 
 @query("""WITH p AS (SELECT s_suppkey AS path, octet_length(encode(s_name)) AS n, s_suppkey % 3 AS m, s_suppkey % 4 <> 3 AS ends, s_suppkey % 7 + 1 AS r FROM supplier),
@@ -97,7 +102,7 @@ CASE WHEN x.marker IS NOT NULL THEN CAST(2 + coalesce(sum(x.size + 4 + x.data) O
 FROM s""")
 def marker_sections(t):
     """The sections of pictures, scans and restarts among them, and pictures of which the last scan does not end. start is the marker's place."""
-    read = _pictures(t).lateralJoin(T.sections(F.col("content").outer(), F.lit(0)))
+    read = _pictures(t).select("path", T.walked("content").alias("sections")).select("path", F.inline("sections"))
     # the tables' marker is one of those that a decoder needs
     needed = M.is_section_marker(F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex("marker"), 2, "0"))))
     return read.where(needed | F.col("marker").isNull() | F.col("marker").isin(0xE0, 0xD9)).select("path", "seq", "marker", "size", "leading", "damage", F.when(F.col("damage").isNull(), F.col("at")).alias("start"))

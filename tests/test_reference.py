@@ -122,3 +122,16 @@ def test_chained_tags(spark):
         assert seen["back"] == [(0, 1, None), (1, None, "directories form a loop"), (1, 9, None)] or seen["back"][-1][2] in (None, "directories form a loop")
         assert [x[2] for x in seen["null"]] == ["a directory lies outside"]
         assert {bytes(r.payload) for r in read if r.payload is not None} == {b"abcd"}
+
+
+def test_containers_stay_in_their_rows(spark, sf):
+    """A file's parts are neither shuffled nor joined, so equal paths may repeat; the few bytes of a table are dealt over all tasks."""
+    files = spark.createDataFrame([("same", stereo()), ("same", stereo(">")), ("same", b"")], "path string, content binary")
+    read = S.parse_stereo(files)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Generate", "Aggregate"))
+    assert sorted(str(r.error) for r in read.collect()) == ["None", "None", "no start of image"]
+    assert sorted(r.directories for r in S.debug_scan(files).collect()) == [0, 2, 2]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    load = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    assert containers._files(load).rdd.getNumPartitions() == containers._pictures(load).rdd.getNumPartitions() == parts
