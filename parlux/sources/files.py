@@ -11,7 +11,6 @@ from parlux.functions import columns as C
 from parlux.functions import media as M
 from parlux.operators import albums as A
 from parlux.operators import stereo
-from parlux.operators.shared import kept, small_or_shuffled
 
 #: Types by the ending of a file's name; another ending gives an empty type.
 TYPES = {"mpo": "image/mpo", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp"}
@@ -43,19 +42,17 @@ def classified(files: DataFrame) -> DataFrame:
 
     A file that may be a stereo container is parsed: a sound one is of that type and has two images; one that isn't sound is one image,
     but an error (and no image) if it declares no type or the container's. All other files are one image, not looked at. Null content
-    counts as empty. Paths are to be distinct."""
-    rows = files.select("path", "name", "mime", "content")
-    asked = rows.where(F.coalesce(C.maybe_stereo(F.col("mime"), F.col("name")), F.lit(False))).select("path", "content")
-    # contents of candidates alone go through Python, what comes back are places
-    found = small_or_shuffled(kept(stereo.parse_stereo(asked)))
-    # with its length beside it, content need not travel where nobody asks for it
-    seen = rows.withColumn("_length", F.coalesce(F.octet_length("content"), F.lit(0))).join(found.select("path", F.struct("start0", "size0", "start1", "size1", "parallax", "error").alias("_found")), "path", "left")
+    counts as empty."""
+    rows = files.select("path", "name", "mime", "content").withColumn("_asked", F.coalesce(C.maybe_stereo(F.col("mime"), F.col("name")), F.lit(False)))
+    # contents of candidates alone go through Python, what comes back are places; with its length beside it, content need not travel where nobody asks for it
+    seen = rows.withColumn("_size", F.coalesce(F.octet_length("content"), F.lit(0)))
+    seen = stereo.with_stereo(seen, F.when(F.col("_asked"), F.col("content"))).withColumn("_found", F.when(F.col("_asked"), F.col("stereo")))
     sound = F.col("_found").isNotNull() & F.col("_found.error").isNull()
     declared = F.coalesce("mime", F.lit(""))
     failed = F.col("_found.error").isNotNull() & declared.isin("", STEREO)
     image = lambda start, size: F.struct(start.cast("long").alias("start"), size.cast("long").alias("size"))
     two = F.array(*(image(F.col(f"_found.start{k}"), F.col(f"_found.size{k}")) for k in range(2)))
-    one = F.array(image(F.lit(0), F.col("_length")))
+    one = F.array(image(F.lit(0), F.col("_size")))
     return seen.select("path", "name", F.when(sound, STEREO).otherwise(F.col("mime")).alias("mime"), "content", F.when(sound, two).when(~failed, one).alias("images"), "_found.parallax", F.when(failed, F.col("_found.error")).alias("error"))
 
 

@@ -38,6 +38,15 @@ def test_odd_files(spark):
     assert got["1"].error and got["1"].images is None and got["2"].images == [(0, 0)] and got["3"].images == [(0, 0)]
 
 
+def test_classified_without_join(spark):
+    """Candidates are parsed in their own rows: equal paths may repeat, and contents go nowhere."""
+    rows = [("same", "a.mpo", "image/mpo", SAMPLE), ("same", "b.mpo", "", b"broken"), ("same", "c.png", "image/png", SAMPLE)]
+    seen = files.classified(spark.createDataFrame(rows, "path string, name string, mime string, content binary"))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r.name: (r.images and len(r.images), r.error is None) for r in seen.collect()} == {"a.mpo": (2, True), "b.mpo": (None, False), "c.png": (1, True)}
+
+
 def test_load_stream(spark, tmp_path):
     begin = datetime(2024, 1, 1)
     rows = [(1, "asked", 0), (1, "done", 1), (1, "failed", 2), (2, "asked", 0), (3, "other", 0), (4, "asked", 0), (4, "failed", 3), (5, None, None), (6, "asked", 0), (6, "failed", 1), (6, "done", 1)]
