@@ -137,6 +137,7 @@ def recorded_folders(t):
     own = t("nation").select(F.lit("files"), name("n", F.col("n_nationkey")), text(id=name("n", F.col("n_nationkey")), title=F.col("n_name"), mimeType=F.lit("folder")))
     children = F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: F.struct(F.concat(F.lit("s"), k).alias("id")))
     lists = t("supplier").groupBy("s_nationkey").agg(children.alias("items")).select(F.lit("folders"), name("n", F.col("s_nationkey")), text(kind=F.lit(recorded.LISTING), items=F.col("items")))
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a file each, of few bytes of a table
     recorded.record(files.union(own).union(lists), folder).count()
     albums, photos = recorded.load_folders(spark, folder, t("nation").select(name("n", F.col("n_nationkey")).alias("folder_id")))
     return photos.join(albums, "folder_id").select("name", F.col("place").cast("long").alias("place"), "photo_id", "title", "mime")

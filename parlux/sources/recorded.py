@@ -140,7 +140,7 @@ class AnswersReader(DataSourceReader):
             ids = [x.get("id") if isinstance(x, dict) else None for x in items] if isinstance(items, list) else None
             if ids is None or not all(isinstance(x, str) for x in ids):
                 return (kind if kind != "OK" else "UNEXPECTED"), [(None, None)]
-            return kind, list(enumerate(ids[: S.CHILDREN])) or [(None, None)]
+            return kind, list(enumerate(ids)) or [(None, None)]
         fine = kind == "OK" and isinstance(found.get("feed"), dict)
         status = {"OK": 200, "NOT_FOUND": MISSING, "NETWORK": None}.get(kind, 500)
         return (kind if fine or kind != "OK" else "UNEXPECTED"), [(status, text if kind == "OK" else None)]
@@ -203,25 +203,32 @@ def answers(spark: SparkSession, folder: str, service: str, requests: dict[str,
     if isinstance(requests, dict):
         return reader.option("requests", json.dumps(requests)).load(folder)
     path = shared_folder(spark, "requests")
-    requests.select(F.col("request").cast("string"), F.col("ids").cast("array<string>")).write.parquet(path)
+    # few bytes are many answers to read, so they are dealt over as many files, and tasks, as a shuffle has
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    requests.select(F.col("request").cast("string"), F.col("ids").cast("array<string>")).repartition(parts).write.parquet(path)
     return reader.option("requests_path", path).load(folder)
 
 
 def load_folders(spark: SparkSession, folder: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Albums and photographs of recorded folders, as services.folder_albums gives them; ids: folder_id.
 
-    Listings come first; a folder's children (CHILDREN at most) and the folder itself are then one request for files' metadata, so a
-    folder is complete if its request is. Folders whose listing is not OK give no album."""
+    Listings come first, each whole, however long; then a folder's children, S.CHILDREN a request, and the folder itself are asked for
+    metadata, and a folder is complete if all its requests are. Folders whose listing is not OK give no album."""
     asked = ids.select(F.col("folder_id").alias("request"), F.array("folder_id").alias("ids"))
     listed = answers(spark, folder, "folders", asked).where("kind = 'OK'")
     children = F.array_sort(F.collect_list(F.when(F.col("child_id").isNotNull(), F.struct("child_pos", "child_id"))))["child_id"]
-    # at most CHILDREN of them, as the reader ends a listing there
-    batches = listed.groupBy("request").agg(F.concat(children, F.array(F.first("id"))).alias("ids"))
-    files = kept(answers(spark, folder, "files", batches))  # used twice
+    part = F.floor(F.coalesce("child_pos", F.lit(0)) / S.CHILDREN)
+    batches = listed.groupBy("request", part.alias("part")).agg(children.alias("ids"), F.first("id").alias("own"))
+    # the folder itself stands behind the first children
+    batches = batches.select(F.concat_ws("/", F.col("part").cast("string"), "request").alias("request"), F.when(F.col("part") == 0, F.concat("ids", F.array("own"))).otherwise(F.col("ids")).alias("ids"))
+    files = answers(spark, folder, "files", batches)
+    at = F.substring_index("request", "/", 1)
+    place = (at.cast("int") * (S.CHILDREN + 1) + F.col("pos")).alias("pos")
+    files = kept(files.select(F.substr("request", F.length(at) + 2).alias("request"), place, *(c for c in files.columns if c not in ("request", "pos"))))  # used twice
     own = F.max(F.when(F.col("id") == F.col("request"), F.col("title")))
     albums = files.groupBy(F.col("request").alias("folder_id")).agg(F.coalesce(own, F.lit(S.UNKNOWN)).alias("name"), F.bool_and("complete").alias("complete"))
-    inside = files.where(F.col("complete") & C.supported_mime(F.col("mime"))).where("id <> request")
-    photos = inside.select(F.col("request").alias("folder_id"), "pos", F.col("id").alias("photo_id"), "title", "mime", "download_url")
+    inside = files.where(C.supported_mime(F.col("mime"))).where("id <> request").withColumnRenamed("request", "folder_id")
+    photos = inside.join(albums.where("complete").select("folder_id"), "folder_id").select("folder_id", "pos", F.col("id").alias("photo_id"), "title", "mime", "download_url")
     return albums, S.in_title_order(photos)
 
 

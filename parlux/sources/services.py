@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parlux.functions import columns as C
 from parlux.functions import media as M
 
-#: Children that a folder listing gives at most (there is no paging), the name of a folder without metadata.
+#: Children whose metadata are one request (a listing itself counts whole), the name of a folder without metadata.
 CHILDREN, UNKNOWN = 1000, "Unknown Folder"
 #: Fixed value: addresses that may be relayed.
 RELAYED = r"^https://(picasaweb.google.com|lh[0-9]+.googleusercontent.com)/.*$"
@@ -91,7 +91,7 @@ def folder_albums(listings: DataFrame, metadata: DataFrame) -> tuple[DataFrame,
     listings: folder_id, answer (items with ids); metadata: answer (one file's). Every folder needs the metadata of all its children
     and its own, else its album is not complete and has no photographs. Albums: folder_id, name, complete. Photographs, those of
     supported types by title (ties: as listed): folder_id, place, photo_id, title, mime, download_url."""
-    items = F.slice(F.from_json("answer", "items array<struct<id:string>>")["items"], 1, CHILDREN)
+    items = F.from_json("answer", "items array<struct<id:string>>")["items"]
     lists = listings.select("folder_id", items.alias("items")).where("items is not null")
     wanted = lists.select("folder_id", F.posexplode(F.concat(F.transform("items", lambda x: x["id"]), F.array("folder_id"))).alias("pos", "id"))
     files = metadata.select(F.from_json("answer", _META).alias("m")).where("m.id is not null").select("m.*")

@@ -78,6 +78,22 @@ def test_folders_as_from_tables(spark, tmp_path):
     assert kinds == {"bad": "UNEXPECTED", "odd": "UNEXPECTED", "half": "UNEXPECTED", "absent": "NOT_FOUND", "e": "OK"}
 
 
+def test_long_listing(spark, tmp_path):
+    """Every child of a listing counts, however many; one that isn't recorded, far behind, leaves the folder incomplete."""
+    n = 2 * S.CHILDREN + 5
+    lists = {"a/b": [f"p{k % 7}" for k in range(n)], "lost": [*(f"p{k % 7}" for k in range(n)), "gone"], "whole": ["p0"] * S.CHILDREN}
+    files = {f"p{k}": meta(f"p{k}", title="same") for k in range(7)} | {k: meta(k, "folder") for k in lists}
+    (tmp_path / "files").mkdir()
+    folder = recording(tmp_path, folders={k: {"items": [{"id": x} for x in v]} for k, v in lists.items() if k != "a/b"}, files={k: v for k, v in files.items() if k != "a/b"})
+    for service, found in {"folders": {"items": [{"id": x} for x in lists["a/b"]]}, "files": files["a/b"]}.items():
+        (tmp_path / service / "a%2Fb.json").write_text(json.dumps(found))
+    albums, photos = R.load_folders(spark, folder, spark.createDataFrame([(k,) for k in lists], "folder_id string"))
+    assert {tuple(r) for r in albums.collect()} == {("a/b", "Ta/b", True), ("lost", "Tlost", False), ("whole", "Twhole", True)}
+    got = photos.orderBy("place").collect()
+    assert [r.photo_id for r in got if r.folder_id == "a/b"] == lists["a/b"] and [r.place for r in got if r.folder_id == "a/b"] == list(range(1, n + 1))
+    assert len(got) == n + S.CHILDREN
+
+
 def test_feeds(spark, tmp_path):
     entry = {"gphoto$id": {"$t": "1"}, "title": {"$t": "t"}, "content": {"type": "image/png", "src": "http://h/a"}}
     folder = recording(tmp_path, feeds={"1": {"feed": {"title": {"$t": "one"}, "entry": [entry, entry]}}, "2": {"none": 1}, "3": "{"})
